@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import encode, packing, topn
+from docquarry.llm import encode, packing, quality, sentences, topn
 from docquarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality statistics and verdict of every preprocessed text."""
+    return quality.quality(table(spark, sf, "preprocessed_text"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of which running sentences make up less than half."""
+    rows = quality.quality(table(spark, sf, "preprocessed_text"))
+    return rows.filter(F.col("running_share") < 0.5).select("doc_id").distinct()
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """The best items of every query, document and recommendation."""
     results, aligned, lists = (table(spark, sf, t) for t in ("search_results", "alignments", "document_results"))
@@ -26,6 +37,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of preprocessed texts without spans and of all recommendations."""
+    texts = table(spark, sf, "preprocessed_text").filter(F.col("sentence_spans").isNull())
+    parts = {"preprocessed": sentences.sentence_rows(texts, "doc_id"), "recommendation": sentences.sentence_rows(table(spark, sf, "recommendations"), "rec_key")}
+    first, second = (df.select(F.lit(kind).alias("kind"), "item_id", "start_at", "end_at") for kind, df in parts.items())
+    return first.unionByName(second).distinct()
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The token ids of every document."""
     return encode.token_ids(table(spark, sf, "documents"))
@@ -36,7 +55,7 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_quality": p1_quality, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 SQL: dict[str, str] = {
     "p3_found": """
