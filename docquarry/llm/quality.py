@@ -98,6 +98,19 @@ def top_ngrams(words: list[str], letters: int) -> list[float]:
     return out
 
 
+def weigh(text: str, found: list[tuple[int, int]], lang: str, common: frozenset[str], urlish: bool) -> tuple[list[str], int, int]:
+    """The words of a text with its sentences, the characters of its running sentences and of all, white space left out."""
+    words, run, solid = [], 0, 0
+    for a, b in found:
+        s = text[a:b]
+        own = WORD.findall(s.lower())
+        size = len("".join(s.split()))
+        words += own
+        solid += size
+        run += size * running(s, own, lang, common, urlish)
+    return words, run, solid
+
+
 def statistics(key: int, text: str | None, common: frozenset[str]) -> tuple:
     """One row of the result."""
     if not text or text.isspace():
@@ -106,14 +119,8 @@ def statistics(key: int, text: str | None, common: frozenset[str]) -> tuple:
     paragraphs = [x for x in map(str.strip, PARAGRAPH.split(text)) if x]
     digits = sum(map(len, DIGITS.findall(text)))
     lang, urlish = language(text), may_hold_codes(text)
-    found, words, run, solid = spans(text, lang), [], 0, 0
-    for a, b in found:
-        s = text[a:b]
-        own = WORD.findall(s.lower())
-        size = len("".join(s.split()))
-        words += own
-        solid += size
-        run += size * running(s, own, lang, common, urlish)
+    found = spans(text, lang)
+    words, run, solid = weigh(text, found, lang, common, urlish)
     letters = sum(map(len, words))
     bullets = sum(BULLET.match(x) is not None for x in lines) / len(lines)
     table = sum(has_cells(x, [x]) for x in lines) / len(lines)

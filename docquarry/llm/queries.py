@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import encode, packing, quality, sentences, topn
+from docquarry.llm import encode, packing, quality, readability, sentences, splitting, topn
 from docquarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,18 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the first overlong sentence of every oversized text begins."""
+    texts = table(spark, sf, "preprocessed_text")
+    return splitting.long_sentences(texts, quality.common_words(texts))
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of every oversized text."""
+    texts = table(spark, sf, "preprocessed_text")
+    return splitting.split(texts, quality.common_words(texts))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences of preprocessed texts without spans and of all recommendations."""
     texts = table(spark, sf, "preprocessed_text").filter(F.col("sentence_spans").isNull())
@@ -55,7 +67,18 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_quality": p1_quality, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The easiest and the most demanding English reports."""
+    rows = readability.reading_levels(table(spark, sf, "documents"))
+    return rows.filter(F.col("band").isNotNull()).select("doc_id", "band").distinct()
+
+
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The reading figures of every document."""
+    return readability.reading_levels(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p3_found, p4_found, p4_pieces, p5_found, p6_ids, p7_containers, p8_found, p8_levels)}
 
 SQL: dict[str, str] = {
     "p3_found": """
