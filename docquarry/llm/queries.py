@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import encode, packing, quality, readability, sentences, splitting, topn
+from docquarry.llm import encode, neardup, packing, quality, readability, sentences, splitting, topn
 from docquarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,24 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.filter(F.col("running_share") < 0.5).select("doc_id").distinct()
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of recommendations and of responses that repeat one another."""
+    recommendations = table(spark, sf, "recommendations").select(F.col("rec_key").alias("id"), "text")
+    responses = table(spark, sf, "responses").select(F.col("resp_key").alias("id"), "text")
+    kinds = {"recommendation": recommendations, "response": responses}
+    first, second = (neardup.record_pairs(df).select(F.lit(kind).alias("kind"), "id_a", "id_b") for kind, df in kinds.items())
+    return first.unionByName(second)
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every recommendation and response of enough words with its group of near-duplicates."""
+    recommendations = table(spark, sf, "recommendations").select(F.col("rec_key").alias("id"), "text")
+    responses = table(spark, sf, "responses").select(F.col("resp_key").alias("id"), "text")
+    kinds = {"recommendation": recommendations, "response": responses}
+    first, second = (neardup.record_groups(df).select(F.lit(kind).alias("kind"), "id", "group_id", "links") for kind, df in kinds.items())
+    return first.unionByName(second)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """The best items of every query, document and recommendation."""
     results, aligned, lists = (table(spark, sf, t) for t in ("search_results", "alignments", "document_results"))
@@ -78,7 +96,7 @@ def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
     return readability.reading_levels(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p3_found, p4_found, p4_pieces, p5_found, p6_ids, p7_containers, p8_found, p8_levels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p5_found, p6_ids, p7_containers, p8_found, p8_levels)}
 
 SQL: dict[str, str] = {
     "p3_found": """
