@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docquarry.functions import lexicon as L
-from docquarry.functions.text import any_contains, clean_strict, line_endings, strip, tokens
+from docquarry.functions.text import any_contains, line_endings, strip, tokens
 
 
 def _rule(patterns: list[str]) -> str:
@@ -117,13 +117,12 @@ def layout(text: Column) -> Column:
     return F.when(trust, "trust").when(structured, "hssib_org").when(by_org, "hsib_org").when(standard, "hsib").otherwise("government")
 
 
-def garbage(text: Column, numbered: bool = False) -> Column:
-    """Why a candidate is no recommendation at all, or null."""
-    c = clean_strict(text)
+def garbage(c: Column, numbered: bool = False) -> Column:
+    """Why a cleaned candidate is no recommendation at all, or null."""
     n = F.length(c)
     special = F.length(F.regexp_replace(c, r"[\p{L}\p{N}\s.,;:!?'\"()\[\]-]", ""))
     digits = n - F.length(F.regexp_replace(c, r"\p{Nd}", ""))
-    out = F.when(F.coalesce(text, F.lit("")) == "", "empty").when(n < 50, "too_short")
+    out = F.when(F.coalesce(c, F.lit("")) == "", "empty").when(n < 50, "too_short")
     if not numbered:
         out = out.when(n > 500, "too_long")
     out = out.when(c.rlike(r"(?i)^(?:Appendix|Section|Chapter|Table|Figure|Footnote)\s+\d+"), "header").when(special / n > 0.12, "corrupted")
@@ -145,35 +144,37 @@ def action_verb(text: Column) -> Column:
     )
 
 
-def recommendation_rule(text: Column, numbered: bool = False) -> Column:
-    """``confidence``, ``method`` and ``verb`` by the first rule that a cleaned candidate meets, or null."""
-    c = clean_strict(text)
+def recommendation_rule(c: Column, numbered: bool = False) -> Column:
+    """``confidence``, ``method`` and ``verb`` by the first rule that a cleaned candidate meets, or null.
+
+    Where the rule itself gives no verb, ``rest`` is the text to take it from.
+    """
     low = F.lower(c)
-    count = F.size(tokens(c))
-    row = lambda conf, method, verb: F.struct(F.lit(conf).alias("confidence"), method.alias("method"), verb.alias("verb"))
-    ids = [r"(?is)^Safety\s+recommendation\s+(R/\d{4}/\d{3})[:\s]+(.+)", r"(?is)^Recommendation\s+(\d{4}/\d{3})[:\s]+(.+)", r"(?is)^Recommendation\s+(\d{1,2}):\s*(.+)"]
+    none = F.lit(None).cast("string")
+    row = lambda conf, method, verb, rest: F.struct(F.lit(conf).alias("confidence"), method.alias("method"), verb.alias("verb"), rest.alias("rest"))
+    patterns = [r"(?is)^Safety\s+recommendation\s+(R/\d{4}/\d{3})[:\s]+(.+)", r"(?is)^Recommendation\s+(\d{4}/\d{3})[:\s]+(.+)", r"(?is)^Recommendation\s+(\d{1,2}):\s*(.+)"]
     rules = []
-    for k, p in enumerate(ids):
+    for k, p in enumerate(patterns):
         prefix = F.lit("hsib_recommendation_" if k < 2 else "numbered_recommendation_")
-        rules.append(F.when(c.rlike(p), row(0.98, F.concat(prefix, F.regexp_extract(c, p, 1)), action_verb(F.regexp_extract(c, p, 2)))))
+        rules.append(F.when(c.rlike(p), row(0.98, F.concat(prefix, F.regexp_extract(c, p, 1)), none, F.regexp_extract(c, p, 2))))
     p = r"(?is)^(?:Recommendations?\s+)?Recommendation\s+(\d{1,2})(?:\s+(\d))?\s+(.+)"
     first, extra = F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2)
     number = F.when((extra != "") & (F.length(first) == 1), F.concat(first, extra)).otherwise(first)
-    rules.append(F.when(c.rlike(p), row(0.98, F.concat(F.lit("numbered_recommendation_"), number), action_verb(F.regexp_extract(c, p, 3)))))
+    rules.append(F.when(c.rlike(p), row(0.98, F.concat(F.lit("numbered_recommendation_"), number), none, F.regexp_extract(c, p, 3))))
     p = r"(?is)^HSSIB\s+recommends\s+that\s+(.+)"
-    rules.append(F.when(c.rlike(p), row(0.96, F.lit("hssib_recommends"), action_verb(F.regexp_extract(c, p, 1)))))
+    rules.append(F.when(c.rlike(p), row(0.96, F.lit("hssib_recommends"), none, F.regexp_extract(c, p, 1))))
     for modal, tail in (("should", r"(?:also\s+)?(?:urgently\s+)?(?:\w+ly\s+)?(\w+)"), ("must", r"(?:also\s+)?(?:\w+ly\s+)?(\w+)")):
-        verbs = [F.lower(F.regexp_extract(c, rf"(?i){e}\s+{modal}\s+{tail}", 1)) for e in L.ENTITIES]
-        found = F.coalesce(*(F.when(v.isin(L.ACTION_VERBS) | v.endswith("e"), v) for v in verbs))
-        rules.append(F.when(found.isNotNull() & c.rlike(rf"(?i)\s{modal}\s"), row(0.95, F.lit(f"entity_{modal}"), found)))
-    rules.append(F.when(low.rlike(r"\bwe\s+recommend\b"), row(0.90, F.lit("we_recommend"), action_verb(c))))
-    rules.append(F.when(low.rlike(r"\bit\s+is\s+recommended\s+that\b"), row(0.90, F.lit("it_is_recommended"), action_verb(c))))
+        verbs = F.array(*(F.lower(F.regexp_extract(c, rf"(?i){e}\s+{modal}\s+{tail}", 1)) for e in L.ENTITIES))
+        found = F.get(F.filter(verbs, lambda v: v.isin(L.ACTION_VERBS) | v.endswith("e")), F.lit(0))
+        met = F.when(c.rlike(rf"(?i)\s{modal}\s"), found)
+        rules.append(F.get(F.transform(F.filter(F.array(met), lambda v: v.isNotNull()), lambda v, modal=modal: row(0.95, F.lit(f"entity_{modal}"), v, none)), F.lit(0)))
+    rules.append(F.when(low.rlike(r"\bwe\s+recommend\b"), row(0.90, F.lit("we_recommend"), none, c)))
+    rules.append(F.when(low.rlike(r"\bit\s+is\s+recommended\s+that\b"), row(0.90, F.lit("it_is_recommended"), none, c)))
     p = r"(\w+(?:\s+\w+)?)\s+should\s+be\s+(\w+ed)\b"
-    rules.append(F.when(low.rlike(p) & ~F.regexp_extract(low, p, 1).isin("this", "it", "that", "recommendation", "the recommendation"), row(0.85, F.lit("should_be_passive"), F.regexp_extract(low, p, 2))))
-    verb = F.regexp_extract(low, r"\b(?:should|must|shall)\s+(\w+)\b", 1)
-    rules.append(F.when(verb.isin(L.ACTION_VERBS) & (count >= 10) & ~low.rlike(r"recommendations?\s+(?:should|must|shall)"), row(0.80, F.lit("modal_verb"), verb)))
-    opening = F.get(tokens(low), F.lit(0))
-    rules.append(F.when(opening.isin(L.ACTION_VERBS) & (count >= 10), row(0.75, F.lit("imperative"), opening)))
+    rules.append(F.when(low.rlike(p) & ~F.regexp_extract(low, p, 1).isin("this", "it", "that", "recommendation", "the recommendation"), row(0.85, F.lit("should_be_passive"), F.regexp_extract(low, p, 2), none)))
+    verb, opening, long = F.regexp_extract(low, r"\b(?:should|must|shall)\s+(\w+)\b", 1), F.regexp_extract(low, r"^\s*(\S+)", 1), F.size(tokens(c)) >= 10
+    rules.append(F.when(verb.isin(L.ACTION_VERBS) & long & ~low.rlike(r"recommendations?\s+(?:should|must|shall)"), row(0.80, F.lit("modal_verb"), verb, none)))
+    rules.append(F.when(opening.isin(L.ACTION_VERBS) & long, row(0.75, F.lit("imperative"), opening, none)))
     met = F.coalesce(*rules)
     return met if numbered else F.when(F.length(c) <= 500, met)
 

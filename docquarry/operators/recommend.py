@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import lexicon as L
-from docquarry.functions.classify import garbage, is_meta, recommendation_likeness, recommendation_rule, scattered_recommendation
+from docquarry.functions.classify import action_verb, garbage, is_meta, recommendation_likeness, recommendation_rule, scattered_recommendation
 from docquarry.functions.similarity import jaccard
 from docquarry.functions.text import clean_strict, finditer, first_match, part, squeeze, strip, tokens
 from docquarry.operators.segment import full_sentences
+from docquarry.session import staged
 
 LONGEST, SHORTEST = 2_500, 50  # characters of a numbered recommendation
 PHASES = [
@@ -37,31 +38,45 @@ def _starts_section(tail: Column) -> Column:
     return left.rlike(rf"^(?:\d+\.\d+\.\d+\s|\d+\.\d+\s+[A-Z]|{narrative})") | tail.rlike(r"^\s*\d+\.\d+(?:\.\d+)?\s+[A-Z]|^\s*\d+\.?\d*\.?\s+[A-Z][a-z]+") | title
 
 
-def recommendation_end(text: Column, start: Column, following: Column) -> Column:
-    """Where a numbered recommendation ends: at the next one, a section's mark or heading, a section's begin, or its greatest length."""
-    after = start + SHORTEST
-    within = part(text, after, following)
-    inline = first_match(within, "(?i)" + L.INLINE_HEADING)
-    limit = F.coalesce(after + inline, following)
-    body = part(text, after, limit)
-    stop = first_match(body, "(?i)(?:" + "|".join(L.HARD_STOPS) + ")")
-    mark = first_match(body, "(?i)(?:" + "|".join(L.SECTION_MARKS) + ")")
-    lead = r"(?:^|[.!?]\s+)"
-    head = first_match(body, rf"(?i){lead}(?:{'|'.join(L.HEADINGS)})")
-    skipped = F.length(F.regexp_extract(part(body, head, F.length(body)), r"^[^\p{L}]*", 0))
-    earliest = F.least(limit, after + stop, after + mark, after + head + skipped)
-    probes = F.when(F.least(earliest, after + 3000) > after, F.sequence(after, F.least(earliest, after + 3000) - 1, F.lit(100))).otherwise(F.array().cast("array<int>"))
-    section = F.get(F.filter(probes, lambda p: _starts_section(F.substring(text, p + 1, F.lit(300)))), F.lit(0))
-    earliest = F.least(earliest, section)
-    head_part = F.substring(text, start + 1, F.lit(LONGEST))
-    stops = F.length(head_part) - F.locate(" .", F.reverse(head_part)) - 1
-    capped = F.when((F.locate(" .", F.reverse(head_part)) > 0) & (stops > SHORTEST), start + stops + 1).otherwise(start + LONGEST)
-    return F.when(earliest > start + LONGEST, capped).otherwise(earliest)
+def with_end(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``text``, ``start`` and ``following`` with ``end``, where the numbered recommendation at ``start`` ends.
+
+    That is at the next one, a section's mark or heading, a section's begin, or its greatest length, whichever comes first;
+    columns that several later ones need are made in steps of their own.
+    """
+    after = F.col("start") + SHORTEST
+    inline = first_match(part(F.col("text"), after, F.col("following")), "(?i)" + L.INLINE_HEADING)
+    rows = staged(rows, limit=F.coalesce(after + inline, F.col("following")))
+    rows = staged(rows, tail=part(F.col("text"), after, F.col("limit")))
+    stop = first_match(F.col("tail"), "(?i)(?:" + "|".join(L.HARD_STOPS) + ")")
+    mark = first_match(F.col("tail"), "(?i)(?:" + "|".join(L.SECTION_MARKS) + ")")
+    head = first_match(F.col("tail"), rf"(?i)(?:^|[.!?]\s+)(?:{'|'.join(L.HEADINGS)})")
+    rows = staged(rows, head=head)
+    skipped = F.length(F.regexp_extract(F.substring("tail", F.col("head") + 1, F.lit(50)), r"^[^\p{L}]*", 0))
+    rows = staged(rows, earliest=F.least(F.col("limit"), after + stop, after + mark, after + F.col("head") + skipped))
+    upto = F.least(F.col("earliest"), after + 3000)
+    probes = F.when(upto > after, F.sequence(after, upto - 1, F.lit(100))).otherwise(F.array().cast("array<int>"))
+    looks = F.transform(probes, lambda p: F.struct(p.alias("at"), F.substring("text", p + 1, F.lit(300)).alias("tail")))
+    section = F.get(F.filter(looks, lambda x: _starts_section(x["tail"])), F.lit(0))["at"]
+    rows = staged(rows, earliest=F.least("earliest", section)).withColumn("block", F.substring("text", F.col("start") + 1, F.lit(LONGEST)))
+    stops = F.length("block") - F.locate(" .", F.reverse("block")) - 1
+    capped = F.when((F.locate(" .", F.reverse("block")) > 0) & (stops > SHORTEST), F.col("start") + stops + 1).otherwise(F.col("start") + LONGEST)
+    end = F.when(F.col("earliest") > F.col("start") + LONGEST, capped).otherwise(F.col("earliest"))
+    return rows.withColumn("end", end).drop("limit", "tail", "head", "earliest", "block")
+
+
+def _judged(rows: DataFrame, least: float, numbered: bool) -> DataFrame:
+    """The rows whose ``body`` is a recommendation, with ``verb``, ``method`` and ``confidence``; each step's costly columns are made once."""
+    rows = staged(rows, again=clean_strict(F.col("body")))
+    rows = rows.filter(garbage(F.col("again"), numbered).isNull())
+    rows = staged(rows, rule=recommendation_rule(F.col("again"), numbered)).filter(F.col("rule.confidence") >= least)
+    verb = F.coalesce("rule.verb", action_verb(F.col("rule.rest")))
+    return rows.withColumn("verb", verb).withColumn("method", F.col("rule.method")).withColumn("confidence", F.round("rule.confidence", 3)).drop("rule", "again")
 
 
 def numbered(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """Recommendations under headings, the first kind of heading that gives any: ``doc_id``, ``phase`` and the recommendation's columns."""
-    cleaned = docs.filter(strip(F.col("text")) != "").select("doc_id", clean_strict(F.col("text")).alias("text"))
+    cleaned = staged(docs.filter(strip(F.col("text")) != "").select("doc_id", "text"), text=clean_strict(F.col("text")))
     out = None
     for k, pattern in enumerate(PHASES):
         heads = cleaned.filter(F.col("text").rlike(pattern)).select("doc_id", "text", finditer(F.col("text"), pattern, 2 if k == 2 else 1).alias("h"))
@@ -71,23 +86,23 @@ def numbered(docs: DataFrame, least: float = 0.75) -> DataFrame:
         if k == 2:
             number = F.when((F.col("m.g2") != "") & (F.length("m.g1") == 1), F.concat("m.g1", "m.g2")).otherwise(F.col("m.g1"))
         rows = rows.select("doc_id", "position", number.alias("rec_number"), "text", F.col("m.at").alias("start"), following.alias("following"))
-        rows = rows.withColumn("end", recommendation_end(F.col("text"), F.col("start"), F.col("following")))
-        rows = rows.withColumn("body", clean_strict(part(F.col("text"), F.col("start"), F.col("end")))).drop("text")
-        rows = rows.filter(garbage(F.col("body"), True).isNull()).withColumn("rule", recommendation_rule(F.col("body"), True)).filter(F.col("rule.confidence") >= least)
+        rows = with_end(rows)
+        rows = staged(rows, body=clean_strict(part(F.col("text"), F.col("start"), F.col("end")))).drop("text")
+        rows = _judged(rows, least, True)
         if k == 2:
             plain = F.regexp_replace("body", r"(?i)^(?:Recommendations?\s+)?Recommendation\s+(\d{1,2})(?:\s+(\d))?:?\s*", "")
             rows = rows.withColumn("body", F.when(F.col("body").rlike(r"(?i)^(?:Recommendations?\s+)?Recommendation\s+\d{1,2}"), F.concat(F.lit("Recommendation "), "rec_number", F.lit(" "), plain)).otherwise(F.col("body")))
-        rows = rows.select("doc_id", F.lit(k).alias("phase"), F.col("body").alias("text"), "rule.verb", "rule.method", F.round("rule.confidence", 3).alias("confidence"), "position", F.lit(True).alias("in_section"), "rec_number")
+        rows = rows.select("doc_id", F.lit(k).alias("phase"), F.col("body").alias("text"), "verb", "method", "confidence", "position", F.lit(True).alias("in_section"), "rec_number")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def from_sentences(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """Recommendations among the sentences, with the same columns as ``numbered``."""
-    rows = full_sentences(docs).withColumn("body", clean_strict(F.col("sentence")))
-    rows = rows.filter(garbage(F.col("body")).isNull() & ~is_meta(F.col("body")))
-    rows = rows.withColumn("rule", recommendation_rule(F.col("body"))).filter(F.col("rule.confidence") >= least)
-    return rows.select("doc_id", F.lit(3).alias("phase"), F.col("body").alias("text"), "rule.verb", "rule.method", F.round("rule.confidence", 3).alias("confidence"), F.col("ordinal").alias("position"), F.lit(False).alias("in_section"), F.lit(None).cast("string").alias("rec_number"))
+    rows = full_sentences(docs).filter(F.length("sentence") >= SHORTEST)
+    rows = staged(rows, body=clean_strict(F.col("sentence")))
+    rows = _judged(rows.filter(~is_meta(F.col("body"))), least, False)
+    return rows.select("doc_id", F.lit(3).alias("phase"), F.col("body").alias("text"), "verb", "method", "confidence", F.col("ordinal").alias("position"), F.lit(False).alias("in_section"), F.lit(None).cast("string").alias("rec_number"))
 
 
 def distinct_numbers(rows: DataFrame) -> DataFrame:

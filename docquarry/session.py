@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of an input folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with costly columns that are made once: the optimiser does not copy them into later filters and columns.
+
+    A generator of one row holds each; it works row by row and keeps the pipeline of the stage.
+    """
+    for name, column in columns.items():
+        df = df.select(*(c for c in df.columns if c != name), F.explode(F.array(F.struct(column.alias("v")))).alias("__s")).withColumn(name, F.col("__s.v")).drop("__s")
+    return df
