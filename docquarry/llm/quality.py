@@ -13,9 +13,9 @@ repeated rows come out as often as they came in; an empty table gives an empty t
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from docquarry.llm.sentences import language, spans
 
 COMMON_SHARE = 0.001  # part of all texts that must hold a word for it to be common
 LEAST_COMMON = 0.35  # part of a sentence's words that must be common for it to be readable
+TOGETHER = 1_000  # texts whose n-grams are counted together
 SCHEMA = (
     "doc_id bigint, words bigint, chars bigint, mean_word_length double, symbol_ratio double, digit_ratio double, lines bigint, line_end_share double, "
     "bullet_line_share double, short_line_share double, common_share double, duplicate_line_share double, duplicate_paragraph_share double, "
@@ -83,18 +84,32 @@ def running(s: str, words: list[str], lang: str, common: frozenset[str], urlish:
     return sum([w in common for w in words]) >= LEAST_COMMON * len(words)
 
 
-def top_ngrams(words: list[str], letters: int) -> list[float]:
-    """Part of the characters covered by the most frequent 2-, 3- and 4-gram, each if it comes more than once."""
-    out, grams, places = [], list(zip(words, words[1:], strict=False)), range(len(words) - 1)
+def top_ngrams(texts: list[list[str]]) -> np.ndarray:
+    """Per text the letters covered by its most frequent 2-, 3- and 4-gram, 0 where none comes more than once; of equal ones the longest.
+
+    All texts' words are counted together as numbers, each text apart from the others.
+    """
+    out = np.zeros((len(texts), 3), np.int64)
+    names: dict[str, int] = {}
+    code = np.array([names.setdefault(w, len(names)) for t in texts for w in t], np.int64)
+    size = np.array([len(w) for w in names], np.int64)[code] if len(code) else code
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at, length = np.arange(len(code)), size
+    gram = np.unique(doc * len(names) + code, return_inverse=True)[1] if len(code) else code
     for n in (2, 3, 4):
-        if n > 2:
-            grams = [tuple(words[i : i + n]) for i in places if i + n <= len(words)]
-        count = Counter(grams)
-        times = max(count.values(), default=0)
-        if times < 2:
-            return out + [0.0] * (5 - n)
-        out.append(min(1.0, max([sum(map(len, g)) for g, k in count.items() if k == times]) * times / letters))
-        places = [i for i, g in zip(places, grams, strict=False) if count[g] > 1]  # a longer one repeats only where this one does
+        inside = at + n - 1 < len(code)
+        inside[inside] = doc[at[inside] + n - 1] == doc[at[inside]]
+        at, gram, length = at[inside], gram[inside], length[inside] + size[at[inside] + n - 1]
+        if not len(at):
+            break
+        gram, count = np.unique(gram * len(names) + code[at + n - 1], return_inverse=True, return_counts=True)[1:]
+        times = count[gram]
+        again = times > 1  # a longer one repeats only where this one does
+        at, gram, length, times = at[again], gram[again], length[again], times[again]
+        most = np.zeros(len(texts), np.int64)
+        np.maximum.at(most, doc[at], times)
+        best = times == most[doc[at]]
+        np.maximum.at(out[:, n - 2], doc[at[best]], (length * times)[best])
     return out
 
 
@@ -111,10 +126,10 @@ def weigh(text: str, found: list[tuple[int, int]], lang: str, common: frozenset[
     return words, run, solid
 
 
-def statistics(key: int, text: str | None, common: frozenset[str]) -> tuple:
-    """One row of the result."""
+def statistics(key: int, text: str | None, common: frozenset[str]) -> tuple[list, list[str]]:
+    """One row of the result, the n-gram shares still open, and the text's words."""
     if not text or text.isspace():
-        return (key, 0, len(text or ""), *[None] * 3, 0, *[None] * 4, *[None] * 5, 0, None, "empty")
+        return [key, 0, len(text or ""), *[None] * 3, 0, *[None] * 6, *[None] * 3, 0, None, "empty"], []
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     paragraphs = [x for x in map(str.strip, PARAGRAPH.split(text)) if x]
     digits = sum(map(len, DIGITS.findall(text)))
@@ -136,11 +151,22 @@ def statistics(key: int, text: str | None, common: frozenset[str]) -> tuple:
     else:
         verdict = "list"
     repeated = lambda xs: 1 - len(set(xs)) / len(xs)
-    return (
+    return [
         key, len(words), len(text), letters / len(words) if words else 0.0, symbols, digits / solid, len(lines), sum(map(ends_sentence, lines)) / len(lines),
         bullets, sum(len(x) < 40 for x in lines) / len(lines), common_share, repeated(lines), repeated(paragraphs),
-        *top_ngrams(words, letters), len(found), share, verdict,
-    )
+        None, None, None, len(found), share, verdict,
+    ], words
+
+
+def all_statistics(keys: list[int], texts: list[str | None], common: frozenset[str]) -> list[list]:
+    """The rows of many texts."""
+    made = [statistics(k, t, common) for k, t in zip(keys, texts, strict=True)]
+    place = COLUMNS.index("top_2gram_share")
+    for (row, words), covered in zip(made, top_ngrams([w for _, w in made]).tolist(), strict=True):
+        if row[-1] != "empty":
+            letters = max(1, sum(map(len, words)))
+            row[place : place + 3] = [min(1.0, x / letters) for x in covered]
+    return [row for row, _ in made]
 
 
 def common_words(df: DataFrame, text_col: str = "text", share: float = COMMON_SHARE) -> frozenset[str]:
@@ -156,6 +182,8 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([statistics(k, t, shared.value) for k, t in zip(pdf["doc_id"], pdf["text"], strict=True)], columns=COLUMNS)
+            for k in range(0, len(pdf), TOGETHER):
+                part = pdf.iloc[k : k + TOGETHER]
+                yield pd.DataFrame(all_statistics(part["doc_id"].tolist(), part["text"].tolist(), shared.value), columns=COLUMNS)
 
     return own.mapInPandas(run, SCHEMA)

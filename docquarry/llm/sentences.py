@@ -161,8 +161,8 @@ def cascade(lang: str) -> Cascade:
     return _CASCADES[lang]
 
 
-BLANK = re.compile(r"\s*\n[^\S\n]*\n\s*|\s*[\f ]\s*")
-STOP = r"[.!?…।؟]+(?:[\"”»’')\]]|\s(?=[।]))*"
+BLANK = re.compile("\\n[^\\S\\n]*\\n\\s*|[\\f\u2029]\\s*")
+BLANK_LINE = re.compile("\\n[^\\S\\n]*\\n\\s*")  # the same where there are no other breaks
 EVENTS = {"latin": re.compile(r"[.!?…]+[\"”»’')\]]*"), "el": re.compile(r"[.!?…;;]+[\"”»’')\]]*"), "caseless": re.compile(r"[.!?…।؟]+[\"”»’')\]]*"), "cjk": re.compile(r"[。！？!?．｡]+[」』”’）)\]]*|\.(?=\s|$)")}
 PROTECT = re.compile(r"[“„«\"「『（(\[{]")
 CLOSERS = {"“": "”", "„": "”“", "«": "»", '"': '"', "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}"}
@@ -258,8 +258,9 @@ def spans(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     lang = lang or language(text)
     out: list[tuple[int, int]] = []
     at, size = 0, len(text)
+    blank = BLANK if "\f" in text or "\u2029" in text else BLANK_LINE
     while at < size:
-        m = BLANK.search(text, at)
+        m = blank.search(text, at)
         end, then = (m.start(), m.end()) if m else (size, size)
         while at < end and text[at].isspace():
             at += 1
