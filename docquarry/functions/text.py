@@ -99,6 +99,16 @@ def snippet(c: Column, most: int = 200) -> Column:
     return F.when(F.length(c) <= most, c).when((F.locate(".", head) > 0) & (stop > most * 0.7), at_stop).otherwise(at_gap)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is made once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_spaces_after(c: Column) -> Column:
+    """A text's sentences with their stops and the white space that follows them; together they are the text."""
+    return F.regexp_extract_all(c, F.lit(r"(?s).*?[.!?]\s+(?=\S)|.+\z"), F.lit(0))
+
+
 def line_endings(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")
 
@@ -122,7 +132,7 @@ def clean_document(c: Column) -> Column:
     c = F.regexp_replace(c, rf"\n{SPACE}*\d+{SPACE}*\n", "\n")
     c = F.regexp_replace(c, rf"(?i)\n{SPACE}*Page{SPACE}+\d+{SPACE}*\n", "\n")
     c = F.regexp_replace(c, rf"(?i)\n{SPACE}*\d+{SPACE}+of{SPACE}+\d+{SPACE}*\n", "\n")
-    c = drop_frequent_lines(c)
+    c = let(c, lambda x: drop_frequent_lines(x))
     c = F.regexp_replace(c, rf"\n{SPACE}*\d+[a-z]?{SPACE}*\n", "\n")
     c = F.regexp_replace(c, r"([a-z,;])\n([a-z])", "$1 $2")
     c = F.regexp_replace(F.regexp_replace(c, " {2,}", " "), r"\n{3,}", "\n\n")
@@ -136,13 +146,13 @@ def drop_frequent_lines(c: Column, times: int = 3) -> Column:
     The lines' counts come from one sort of the text's lines, so the work grows with the lines, not with their square.
     """
     lines = F.split(c, "\n")
-    often = F.array_distinct(_repeated(F.filter(F.transform(lines, strip), lambda x: F.length(x).between(11, 99)), times))
-    return F.when(F.size(often) == 0, c).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, strip(x))), "\n"))
+    bare = F.filter(F.transform(lines, strip), lambda x: F.length(x).between(11, 99))
+    often = let(F.array_sort(bare), lambda xs: F.array_distinct(_repeated(xs, times)))
+    return let(often, lambda o: F.when(F.size(o) == 0, c).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(o, strip(x))), "\n")))
 
 
-def _repeated(xs: Column, times: int) -> Column:
-    """The elements of an array that come more than ``times`` times: in sorted order, equal to the one ``times`` places before."""
-    ordered = F.array_sort(xs)
+def _repeated(ordered: Column, times: int) -> Column:
+    """The elements of a sorted array that come more than ``times`` times: equal to the one ``times`` places before."""
     late = F.slice(ordered, F.lit(times + 1), F.greatest(F.size(ordered) - times, F.lit(0)))
     return F.filter(F.zip_with(late, ordered, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
 

@@ -41,12 +41,19 @@ def by_keywords(recs: DataFrame, resps: DataFrame, least: float = 0.25) -> DataF
     return recs.select("rec_key").join(best, "rec_key", "left").withColumn("has_response", F.col("resp_key").isNotNull())
 
 
-def top_three(recs: DataFrame, resps: DataFrame, least: float = 0.3, most: int = 3) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, bound: float) -> DataFrame:
+    """Pairs that share a word and whose sizes allow the similarity."""
+    sizes = (F.col("n_rec_key") >= F.col("n_resp_key") * bound) & (F.col("n_resp_key") >= F.col("n_rec_key") * bound)
+    return left.join(right, "word").filter(sizes).select("rec_key", "resp_key").distinct()
+
+
+def top_three(recs: DataFrame, resps: DataFrame, least: float = 0.3, most: int = 3, across: bool = True) -> DataFrame:
     """Each recommendation with its ``most`` best responses: ``rec_key``, ``rank``, ``resp_key``, ``combined_score``, ``similarity_score``, ``same_document``.
 
     Meaningful words in their own case are compared; responses of the same document count 1.2 times, later ones there 1.1
     times more. Only pairs that share a word can qualify, so candidates meet by their rarest words: a pair of sets with a
-    similarity of t shares one of the first n - ceil(t n) + 1 words of each in the order of rarity.
+    similarity of t shares one of the first n - ceil(t n) + 1 words of each in the order of rarity. Without ``across`` only
+    responses of the same document are candidates, which the document joins.
     """
     bound = least / 1.32
     left = recs.select("doc_id", "rec_key", "position", F.array_distinct(meaningful_cased(F.col("text"))).alias("a")).filter(F.size("a") > 0)
@@ -58,13 +65,15 @@ def top_three(recs: DataFrame, resps: DataFrame, least: float = 0.3, most: int =
         w = Window.partitionBy(key).orderBy("often", "word")
         return each.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * bound) + 1).select(key, F.col("n").alias(f"n_{key}"), "word")
 
-    sizes = (F.col("n_rec_key") >= F.col("n_resp_key") * bound) & (F.col("n_resp_key") >= F.col("n_rec_key") * bound)
-    met = rarest(left, "rec_key", "a").join(rarest(right, "resp_key", "b"), "word").filter(sizes).select("rec_key", "resp_key").distinct()
+    if across:
+        met = _met(rarest(left, "rec_key", "a"), rarest(right, "resp_key", "b"), bound)
+    else:
+        met = left.join(right, F.col("doc_id") == F.col("resp_doc")).select("rec_key", "resp_key")
     pairs = met.join(left, "rec_key").join(right, "resp_key").withColumn("similarity_score", jaccard(F.col("a"), F.col("b")))
     same = F.col("doc_id") == F.col("resp_doc")
     weight = F.when(same, 1.2).otherwise(1.0) * F.when(same & (F.col("resp_position") > F.col("position")), 1.1).otherwise(1.0)
     pairs = pairs.withColumn("same_document", F.coalesce(same, F.lit(False))).withColumn("combined", F.col("similarity_score") * weight).filter(F.col("combined") >= least)
-    w = Window.partitionBy("rec_key").orderBy(F.desc("combined"), "resp_key")
+    w = Window.partitionBy("rec_key").orderBy(F.desc(F.round("combined", 12)), "resp_key")
     ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
     return ranked.select("rec_key", "rank", "resp_key", F.least("combined", F.lit(1.0)).alias("combined_score"), "similarity_score", "same_document")
 

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from docquarry.functions import lexicon as L
 from docquarry.functions.classify import excluded_numbers, is_genuine_response, is_recommendation_text, layout, organisation, scattered_response
 from docquarry.functions.similarity import containment
-from docquarry.functions.text import clean_pdf, finditer, first_match, line_endings, part, squeeze, strip, tokens
+from docquarry.session import staged
+from docquarry.functions.text import clean_pdf, finditer, first_match, line_endings, part, squeeze, strip, tokens, with_spaces_after
 
 LONGEST, SHORTEST = 2_000, 30
 COLUMNS = ["doc_id", "text", "position", "response_type", "confidence", "rec_number", "rec_id", "source_org", "org_name", "excluded"]
@@ -25,7 +26,8 @@ def _shape(rows: DataFrame, **values) -> DataFrame:
 
 def _sections(docs: DataFrame, pattern: str, groups: int, text: Column) -> DataFrame:
     """``doc_id``, ``whole``, ``i``, the match ``m`` and ``until``, where the next match or the text's end is."""
-    heads = docs.select("doc_id", text.alias("whole")).withColumn("h", finditer(F.col("whole"), pattern, groups))
+    heads = staged(docs.select("doc_id", "text"), whole=text).drop("text").filter(F.col("whole").rlike(pattern))
+    heads = staged(heads, h=finditer(F.col("whole"), pattern, groups))
     rows = heads.select("doc_id", "whole", F.posexplode("h").alias("i", "m"), F.col("h").alias("all"))
     return rows.withColumn("until", F.coalesce(F.get("all", F.col("i") + 1)["at"], F.length("whole"))).drop("all")
 
@@ -35,7 +37,7 @@ def trust(docs: DataFrame) -> DataFrame:
     marker = r"(?i)(?:TEWV|Trust)\s+response[:\s]*"
     rows = _sections(docs, r"(?i)Recommendation\s+(\d+)\s*(\d)?\s*\*?\s*(?:\n|(?=[A-Za-z]))", 2, line_endings(F.col("text")))
     number = F.concat(F.col("m.g1"), F.coalesce(F.col("m.g2"), F.lit(""))).try_cast("int")
-    rows = rows.withColumn("n", number).withColumn("section", part(F.col("whole"), F.col("m.at"), F.col("until"))).withColumn("marked", F.col("section").rlike(marker))
+    rows = staged(rows, n=number, section=part(F.col("whole"), F.col("m.at"), F.col("until"))).withColumn("marked", F.col("section").rlike(marker))
     w = Window.partitionBy("doc_id", "n").orderBy(F.desc("marked"), "i")
     rows = rows.withColumn("r", F.row_number().over(w)).filter("r = 1 and marked")
     begin = first_match(F.col("section"), marker) + F.length(F.regexp_extract("section", marker, 0))
@@ -56,13 +58,13 @@ def _before_safety(text: Column) -> Column:
 def by_organisation(docs: DataFrame) -> DataFrame:
     """Sections under a line with an organisation's name, each with a recommendation's identifier and a response."""
     rows = _sections(docs, rf"(?im)(?:^|\n)({L.ORG_LINE})\s*\n", 1, _before_safety(line_endings(F.col("text"))))
-    rows = rows.withColumn("org_name", strip(F.col("m.g1"))).withColumn("section", part(F.col("whole"), F.col("m.upto"), F.col("until")))
+    rows = staged(rows.withColumn("org_name", strip(F.col("m.g1"))), section=part(F.col("whole"), F.col("m.upto"), F.col("until")))
     ids = F.regexp_extract("section", r"(?i)recommendation\s+(R/\d{4}/\d{3})", 1)
     first = F.regexp_extract("section", r"(?i)Safety\s+recommendation\s+(R/\d{4}/\d{3})", 1)
     rec_id = F.coalesce(F.nullif(first, F.lit("")), F.nullif(ids, F.lit("")), (F.col("i") + 1).cast("string"))
     line, joined = r"(?i)\nResponse\n", r"(?i)\nResponse\s*(?=The|NHS|We|DHSC|NICE|Care)"
     begin = F.coalesce(first_match(F.col("section"), line) + F.length(F.regexp_extract("section", line, 0)), first_match(F.col("section"), joined) + F.length(F.regexp_extract("section", joined, 0)))
-    rows = rows.withColumn("begin", begin).filter("begin is not null").withColumn("rest", part(F.col("section"), F.col("begin"), F.length("section")))
+    rows = staged(rows, begin=begin).filter("begin is not null").withColumn("rest", part(F.col("section"), F.col("begin"), F.length("section")))
     end = first_match(F.col("rest"), r"(?i)Actions\s+planned\s+to\s+deliver|Response\s+received\s+on")
     rows = rows.withColumn("text", squeeze(part(F.col("rest"), F.lit(0), F.coalesce(end, F.length("rest"))))).filter(F.length("text") >= SHORTEST)
     name = F.lower("org_name")
@@ -73,7 +75,8 @@ def by_organisation(docs: DataFrame) -> DataFrame:
 def by_recommends(docs: DataFrame) -> DataFrame:
     """Sections that begin with what is recommended to an organisation, numbered in order."""
     pattern = r"(?i)HSIB\s+recommends\s+that\s+(?:the\s+)?(NHS\s+England|Care\s+Quality\s+Commission|National\s+Institute[^.]*|Royal\s+College[^.]*|NICE|DHSC)"
-    rows = _sections(docs, pattern, 1, line_endings(F.col("text"))).withColumn("section", part(F.col("whole"), F.col("m.at"), F.col("until")))
+    rows = _sections(docs, pattern, 1, line_endings(F.col("text")))
+    rows = staged(rows, section=part(F.col("whole"), F.col("m.at"), F.col("until")))
     begin = first_match(F.col("section"), r"(?i)\bResponse\b")
     rows = rows.withColumn("begin", begin + 8).filter("begin is not null").withColumn("rest", part(F.col("section"), F.col("begin"), F.length("section")))
     end = first_match(F.col("rest"), r"(?i)\bActions\s+planned\s+to\s+deliver|\bResponse\s+received\s+on|\bSafety\s+observation|\bSafety\s+action")
@@ -84,14 +87,15 @@ def by_recommends(docs: DataFrame) -> DataFrame:
 
 def standard(docs: DataFrame) -> DataFrame:
     """Responses under a line ``Response``, each with the latest identifier before it."""
-    text = docs.filter(F.col("text").isNotNull()).select("doc_id", _before_safety(line_endings(F.col("text"))).alias("whole"))
+    text = staged(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), text=line_endings(F.col("text")))
+    text = staged(text, whole=_before_safety(F.col("text"))).drop("text")
     kind = "array<struct<at:int,upto:int>>"
     plain = lambda p: F.transform(finditer(F.col("whole"), p), lambda m: F.struct(m["at"].alias("at"), m["upto"].alias("upto")))
     heads = F.array_sort(F.concat(plain(r"(?im)(?:^|\n)\s*Response\s*\n"), plain(r"(?i)Response(?=[A-Z][a-z])")))
     apart = F.aggregate(heads, F.array().cast(kind), lambda kept, h: F.when((F.size(kept) == 0) | (h["at"] - F.get(kept, F.size(kept) - 1)["at"] > 20), F.concat(kept, F.array(h))).otherwise(kept))
     ids = F.concat(*(F.transform(finditer(F.col("whole"), p, 1), lambda m: F.struct(m["at"].alias("at"), m["g1"].alias("id"))) for p in (r"(?i)Safety\s+recommendation\s+(R/\d{4}/\d{3})[:\s]", r"(?i)Recommendation\s+(\d{4}/\d{3})[:\s]")))
     orgs = F.transform(finditer(F.col("whole"), r"(?im)(?:^|\n)\s*(?:NHS\s+England|Care\s+Quality\s+Commission|National\s+Institute\s+for\s+Health\s+and\s+Care\s+Excellence|National\s+Institute|Royal\s+College\s+of\s+Psychiatrists|Royal\s+College|The\s+Shelford\s+Group|DHSC)\s*\n"), lambda m: m["at"])
-    rows = text.select("doc_id", "whole", apart.alias("h"), ids.alias("ids"), orgs.alias("orgs"))
+    rows = staged(text, h=apart, ids=ids, orgs=orgs)
     rows = rows.select("doc_id", "whole", "ids", "orgs", F.col("h").alias("all"), F.posexplode("h").alias("i", "m")).withColumn("start", F.col("m.upto"))
     end = F.coalesce(F.get("all", F.col("i") + 1)["at"], F.length("whole"))
     end = F.least(end, F.array_min(F.filter("orgs", lambda o: o > F.col("start"))))
@@ -106,17 +110,19 @@ def standard(docs: DataFrame) -> DataFrame:
 
 def government(docs: DataFrame) -> DataFrame:
     """Sections ``Government response to recommendation N``, and responding sentences outside them that they do not repeat."""
-    text = docs.filter(F.col("text").isNotNull()).select("doc_id", clean_pdf(line_endings(F.col("text"))).alias("text"))
+    text = staged(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), text=clean_pdf(line_endings(F.col("text"))))
     rows = _sections(text, r"(?i)Government\s+response\s+to\s+recommendation\s+(\d+)", 1, F.col("text"))
     nexts = F.transform(finditer(F.col("whole"), r"Recommendation\s+(\d+)\s+([A-Z])"), lambda m: m["at"])
     end = F.least(F.col("until"), F.array_min(F.filter(nexts, lambda p: p > F.col("m")["upto"])))
-    rows = rows.withColumn("start", F.col("m.upto")).withColumn("end", end).withColumn("text", clean_pdf(part(F.col("whole"), F.col("start"), F.col("end")))).filter("text <> ''")
+    rows = staged(rows.withColumn("start", F.col("m.upto")), end=end)
+    rows = staged(rows, text=clean_pdf(part(F.col("whole"), F.col("start"), F.col("end")))).filter("text <> ''")
     structured = _shape(rows, position=F.col("start"), response_type=F.lit("structured"), confidence=F.lit(0.95), rec_number=F.col("m.g1"))
     held = rows.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start"), F.col("end"), squeeze(F.lower("text")).alias("low"))).alias("held"))
-    parts = F.split("text", r"(?<=[.!?]\s{1,500})(?=\S)", -1)
+    parts = with_spaces_after(F.col("text"))
     lengths = F.transform(parts, lambda p: F.length(p))
     begins = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-    each = text.select("doc_id", F.posexplode(F.arrays_zip(begins.alias("at"), parts.alias("s"))).alias("i", "p")).select("doc_id", "i", F.col("p.at").alias("at"), clean_pdf(F.col("p.s")).alias("s"))
+    each = text.select("doc_id", F.posexplode(F.arrays_zip(begins.alias("at"), parts.alias("s"))).alias("i", "p"))
+    each = staged(each.select("doc_id", "i", F.col("p.at").alias("at"), F.col("p.s").alias("s")).filter(F.length("s") >= 40), s=clean_pdf(F.col("s")))
     each = each.filter(F.length("s").between(40, 500) & ~is_recommendation_text(F.col("s")) & is_genuine_response(F.col("s")))
     each = each.join(held, "doc_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<start:int,end:int,low:string>>")))
     low = squeeze(F.lower("s"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.functions.text import SPACE, norm_line, position, strip
+from docquarry.functions.text import SPACE, norm_line, position, strip, with_spaces_after
 
 SENTENCE_END = r"[.!?]+"
 
@@ -35,7 +35,7 @@ def full_sentences(docs: DataFrame) -> DataFrame:
 
 def sentence_spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``ordinal``, ``start_at`` and ``end_at`` of sentences with the white space that follows them."""
-    parts = F.split("text", r"(?<=[.!?]\s{1,500})(?=\S)", -1)
+    parts = with_spaces_after(F.col("text"))
     ends = F.transform(parts, lambda p, i: F.struct(i.alias("ordinal"), F.length(p).alias("n")))
     rows = docs.filter(F.length("text") > 0).select("doc_id", F.explode(ends).alias("p")).select("doc_id", "p.*")
     w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)

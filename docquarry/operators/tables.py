@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import squeeze
+from docquarry.functions.text import let, squeeze
 
 
 def _clean(rows: Column) -> Column:
@@ -14,7 +14,10 @@ def _clean(rows: Column) -> Column:
 
 def generic(rows: Column) -> Column:
     """``Header: cell`` joined by bars, a line a row; blank cells left out, headers that lack numbered."""
-    rows = _clean(rows)
+    return let(_clean(rows), lambda x: _generic(x))
+
+
+def _generic(rows: Column) -> Column:
     head = F.get(rows, F.lit(0))
     name = lambda i: F.coalesce(F.nullif(F.get(head, i), F.lit("")), F.concat(F.lit("Column "), (i + 1).cast("string")))
     cells = lambda r: F.filter(F.transform(r, lambda c, i: F.when(c != "", F.concat(name(i), F.lit(": "), c))), lambda x: x.isNotNull())
@@ -24,7 +27,10 @@ def generic(rows: Column) -> Column:
 
 def recommendations(rows: Column) -> Column:
     """Rows of recommendations with the actions, owners and timescales that follow them, an item a recommendation."""
-    rows = _clean(rows)
+    return let(_clean(rows), lambda x: _recommendations(x))
+
+
+def _recommendations(rows: Column) -> Column:
     head = F.transform(F.get(rows, F.lit(0)), lambda h: F.lower(h))
     places = lambda *words: F.filter(F.transform(head, lambda h, i: F.when(_any(h, words), i)), lambda x: x.isNotNull())
     first, last = (lambda xs: F.get(xs, F.lit(0))), (lambda xs: F.when(F.size(xs) > 0, F.element_at(F.when(F.size(xs) > 0, xs).otherwise(F.array(F.lit(0))), -1)))
@@ -60,4 +66,5 @@ def _any(c: Column, words: tuple[str, ...]) -> Column:
 def as_text(rows: Column) -> Column:
     """A table as text: as recommendations if its header names one of their columns, else cell by cell; tables without rows are empty."""
     asked = F.exists(F.get(_clean(rows), F.lit(0)), lambda h: _any(F.lower(h), ("recommendation", "action", "owner", "timescale", "improvement")))
-    return F.when(F.size(rows) < 2, "").when(asked & (recommendations(rows) != ""), recommendations(rows)).otherwise(generic(rows))
+    told = let(recommendations(rows), lambda x: F.nullif(x, F.lit("")))
+    return F.when(F.size(rows) < 2, "").otherwise(F.coalesce(F.when(asked, told), generic(rows)))

@@ -72,6 +72,11 @@ def matches(x: str, patterns: list[str]) -> str:
     return f"regexp_matches({x}, {q('|'.join(f'(?:{p})' for p in patterns))})"
 
 
+def whole(pattern: str) -> str:
+    """A pattern between word boundaries of any script, which the SQL engine's own boundary is not."""
+    return r"(?:^|[^\p{L}\p{N}_])" + pattern.removeprefix(r"\b").removesuffix(r"\b") + r"(?:$|[^\p{L}\p{N}_])"
+
+
 RECS = "(SELECT DISTINCT ON (rec_key) * FROM recommendations WHERE text IS NOT NULL)"
 RESPS = "(SELECT DISTINCT ON (resp_key) * FROM responses WHERE text IS NOT NULL)"
 DOCS = "(SELECT * FROM documents WHERE length(text) > 0)"
@@ -145,8 +150,9 @@ def smart_search_topn(spark: SparkSession, sf: str) -> DataFrame:
     return found.orderBy(F.desc("score"), "doc_id", "ordinal")
 
 
-@query(f"""SELECT doc_id, position, substr(text, greatest(position - 150, 0) + 1, least(position + {len(QUERY)} + 150, length(text)) - greatest(position - 150, 0)) AS context, {PAGE} AS page_number FROM
-    (SELECT doc_id, text, unnest(list_filter(range(0, length(text)), lambda i: substr(lower(text), i + 1, {len(QUERY)}) = '{QUERY}'))::INTEGER AS position FROM documents WHERE contains(lower(text), '{QUERY}'))""")
+@query(f"""WITH d AS (SELECT doc_id, text, list_transform(string_split(lower(text), '{QUERY}'), lambda x: length(x)) AS l FROM documents WHERE contains(lower(text), '{QUERY}')),
+    e AS (SELECT doc_id, text, unnest(list_transform(range(1, len(l)), lambda k: list_sum(l[1:k]) + (k - 1) * {len(QUERY)}))::INTEGER AS position FROM d)
+    SELECT doc_id, position, substr(text, greatest(position - 150, 0) + 1, least(position + {len(QUERY)} + 150, length(text)) - greatest(position - 150, 0)) AS context, {PAGE} AS page_number FROM e""")
 def exact_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.exact(documents(spark, sf), QUERY)
 
@@ -299,7 +305,7 @@ def content_type(spark: SparkSession, sf: str) -> DataFrame:
     return recs(spark, sf).select("rec_key", classify.theme(F.col("text")).alias("content_type"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN text = '' THEN 'unknown' {" ".join(f"WHEN regexp_matches(lower(text), {q(p)}) THEN '{k}'" for k, p in L.DOCUMENT_TYPES)}
+@query(f"""SELECT doc_id, CASE WHEN text = '' THEN 'unknown' {" ".join(f"WHEN regexp_matches(lower(text), {q(whole(p))}) THEN '{k}'" for k, p in L.DOCUMENT_TYPES)}
     WHEN {holds("lower(filename)", ["report", "analysis"])} THEN 'report' WHEN {holds("lower(filename)", ["inquiry", "investigation"])} THEN 'inquiry' ELSE 'general' END AS kind,
     CASE WHEN contains(lower(text), 'recommendation') OR contains(lower(filename), 'recommend') THEN 'recommendation' WHEN contains(lower(text), 'response') OR contains(lower(filename), 'response') THEN 'response'
     WHEN contains(lower(text), 'policy') OR contains(lower(filename), 'policy') THEN 'policy' ELSE 'document' END AS engine_kind FROM documents WHERE text IS NOT NULL""")
@@ -501,7 +507,7 @@ TERMS = "[" + ", ".join(f"'{w}'" for w in L.GOVERNMENT_TERMS) + "]"
             + least(len(list_intersect(list_intersect(a, b), {TERMS})) * 0.05::DOUBLE, 0.15::DOUBLE), 1.0::DOUBLE) END + CASE WHEN rn = pn THEN 0.4 ELSE 0.0 END::DOUBLE + CASE WHEN reply THEN 0.2 ELSE 0.0 END::DOUBLE AS score
           FROM l JOIN r USING (doc_id) WHERE NOT {SELF}),
     m AS (SELECT * FROM p WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY rec_key ORDER BY round(score, 12) DESC, resp_key) = 1)
-    SELECT rec_key, resp_key, least(score, 1.0::DOUBLE) AS similarity, status, status_confidence, resp_key IS NOT NULL AS has_response FROM (SELECT rec_key FROM l) LEFT JOIN m USING (rec_key)""")
+    SELECT rec_key, resp_key, CASE WHEN score > 1 THEN 1.0::DOUBLE ELSE score END AS similarity, status, status_confidence, resp_key IS NOT NULL AS has_response FROM (SELECT rec_key FROM l) LEFT JOIN m USING (rec_key)""")
 def align_keyword(spark: SparkSession, sf: str) -> DataFrame:
     return align.by_keywords(recs(spark, sf), resps(spark, sf))
 
@@ -509,15 +515,19 @@ def align_keyword(spark: SparkSession, sf: str) -> DataFrame:
 CASED = f"list_distinct(list_filter(regexp_extract_all(text, '{text.HYPHEN_WORD}'), lambda x: length(x) > 2 AND lower(x) NOT IN ({STOPS})))"
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, rec_key, position AS p, {CASED} AS a FROM {RECS}), r AS (SELECT doc_id, resp_key, position AS pp, {CASED} AS b FROM {RESPS}),
+    s AS (SELECT rec_key, resp_key, p, pp, len(list_intersect(a, b))::DOUBLE / greatest(1, len(list_distinct(list_concat(a, b)))) AS j FROM l JOIN r USING (doc_id) WHERE len(a) > 0 AND len(b) > 0),
+    c AS (SELECT *, j * CASE WHEN pp > p THEN 1.2 * 1.1 ELSE 1.2 END::DOUBLE AS c FROM s)
+    SELECT rec_key, row_number() OVER w::INTEGER AS rank, resp_key, CASE WHEN c > 1 THEN 1.0 ELSE c END::DOUBLE AS combined_score, j AS similarity_score, true AS same_document FROM c WHERE round(c, 12) >= 0.1
+    WINDOW w AS (PARTITION BY rec_key ORDER BY round(c, 12) DESC, resp_key) QUALIFY row_number() OVER w <= 3""")
 def align_legacy_top3(spark: SparkSession, sf: str) -> DataFrame:
-    return align.top_three(recs(spark, sf), resps(spark, sf))
+    return align.top_three(recs(spark, sf), resps(spark, sf), least=0.1, across=False)
 
 
 @query()
 def align_legacy_nested(spark: SparkSession, sf: str) -> DataFrame:
     own = recs(spark, sf)
-    return align.nested(align.top_three(own, resps(spark, sf)), own)
+    return align.nested(align.top_three(own, resps(spark, sf), least=0.1, across=False), own)
 
 
 @query(f"""WITH l AS (SELECT doc_id, rec_key, rec_id, TRY_CAST(rec_number AS INTEGER) AS n, list_distinct(regexp_extract_all(lower(text), '{text.WORD}')) AS a FROM {RECS}),
