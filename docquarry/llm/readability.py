@@ -30,7 +30,8 @@ FAMILIAR_SHARE = 0.002  # part of all texts that must hold a word for it to be f
 FAMILIAR_LETTERS = 6  # letters of a familiar word at most
 UNFAMILIAR_WEIGHT, LENGTH_WEIGHT = 15.79, 0.0496  # of the share of unfamiliar words, and of words a sentence
 LEAST_WORDS = 80  # white-space separated words of a text with a band
-THROUGHOUT = 0.85  # part of the words that must stand in sentences of the band
+THROUGHOUT = 0.85  # part of the words that must stand in easy sentences
+LEAST_UNFAMILIAR = 0.38  # share of unfamiliar words of a hard text; where it is no more, nearly all words must stand in hard sentences
 PROSE = 0.7  # part of the words that must stand in sentences with enough function words
 SCHEMA = "doc_id bigint, words bigint, sentences bigint, unfamiliar_share double, mean_sentence_words double, grade double, prose_share double, easy_share double, hard_share double, band string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -84,7 +85,7 @@ def measure(key: int, text: str | None, familiar: frozenset[str]) -> tuple:
     if lang == "en" and count >= LEAST_WORDS and prose >= PROSE * words:
         if easy >= THROUGHOUT * words and share <= 0.12 and length <= 13:
             band = "easy"
-        elif hard >= THROUGHOUT * words and share >= 0.38 and length >= 24:
+        elif share >= LEAST_UNFAMILIAR and hard / words + 1.5 * (share - LEAST_UNFAMILIAR) >= 0.97 and length >= 24:
             band = "hard"
     return (key, words, sentences, share, length, UNFAMILIAR_WEIGHT * share + LENGTH_WEIGHT * length, prose / words, easy / words, hard / words, band)
 
