@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docquarry.functions import lexicon as L
-from docquarry.functions.text import any_contains, line_endings, strip, tokens
+from docquarry.functions.text import any_contains, let, line_endings, strip, tokens
 
 
 def _rule(patterns: list[str]) -> str:
@@ -144,6 +144,11 @@ def action_verb(text: Column) -> Column:
     )
 
 
+def _entity(verb: Column, made) -> Column:
+    """``made`` of a verb that is made once, or null without one."""
+    return let(verb, lambda v: F.when(v.isNotNull(), made(v)))
+
+
 def recommendation_rule(c: Column, numbered: bool = False) -> Column:
     """``confidence``, ``method`` and ``verb`` by the first rule that a cleaned candidate meets, or null.
 
@@ -167,7 +172,8 @@ def recommendation_rule(c: Column, numbered: bool = False) -> Column:
         verbs = F.array(*(F.lower(F.regexp_extract(c, rf"(?i){e}\s+{modal}\s+{tail}", 1)) for e in L.ENTITIES))
         found = F.get(F.filter(verbs, lambda v: v.isin(L.ACTION_VERBS) | v.endswith("e")), F.lit(0))
         met = F.when(c.rlike(rf"(?i)\s{modal}\s"), found)
-        rules.append(F.get(F.transform(F.filter(F.array(met), lambda v: v.isNotNull()), lambda v, modal=modal: row(0.95, F.lit(f"entity_{modal}"), v, none)), F.lit(0)))
+        method = F.lit(f"entity_{modal}")
+        rules.append(_entity(met, lambda v, m=method: row(0.95, m, v, none)))
     rules.append(F.when(low.rlike(r"\bwe\s+recommend\b"), row(0.90, F.lit("we_recommend"), none, c)))
     rules.append(F.when(low.rlike(r"\bit\s+is\s+recommended\s+that\b"), row(0.90, F.lit("it_is_recommended"), none, c)))
     p = r"(\w+(?:\s+\w+)?)\s+should\s+be\s+(\w+ed)\b"

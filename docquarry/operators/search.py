@@ -16,6 +16,10 @@ from docquarry.functions.text import any_contains, array_of, meaningful, page, t
 from docquarry.operators.segment import plain_sentences, remove_overlaps
 
 
+BROADCAST_QUERIES = 20_000
+QUERY_BLOCK = 2_000  # queries compared with a vector at once
+
+
 def query_words(query: str) -> list[str]:
     """The meaningful words of a query, in order, with repeats."""
     return [w for w in re.findall(r"[^\W]+", query.lower()) if len(w) > 1 and w not in L.STOP_WORDS]
@@ -149,11 +153,14 @@ def pattern_matches(docs: DataFrame, patterns: list[str]) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vec_id: str = "vec_id", least: float | None = None) -> DataFrame:
     """``query_id``, ``vec_id`` and ``similarity``: the ``k`` nearest vectors of each query by cosine, ties to the smaller id.
 
-    The queries are a stated, bounded set that is sent to the vectors; each partition of vectors keeps only each query's
-    ``k`` best before anything is exchanged.
+    Queries go to the vectors in blocks; up to ``BROADCAST_QUERIES`` of them, which are counted, are broadcast. Each
+    partition of vectors keeps only each query's ``k`` best before anything is exchanged.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").alias("qv"))
-    held = F.broadcast(q.agg(F.collect_list(F.struct("query_id", "qv")).alias("qs")))
+    n = q.count()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK))))
+    held = q.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs")).select("qs")
+    held = F.broadcast(held) if n <= BROADCAST_QUERIES else held
     pairs = vectors.select(F.col(vec_id).alias("vec_id"), "embedding").join(held).select("vec_id", "embedding", F.explode("qs").alias("q"))
     scored = pairs.select("q.query_id", "vec_id", cosine(F.col("q.qv"), F.col("embedding")).alias("similarity"))
     if least is not None:

@@ -93,7 +93,7 @@ def test_layouts(spark):
     docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id int, text string")
     assert [r.v for r in docs.select("doc_id", classify.layout(F.col("text")).alias("v")).orderBy("doc_id").collect()] == list(texts)
     rows = respond.extract(docs).collect()
-    found = {k: sorted((r.rec_number, r.response_type) for r in rows if r.doc_id == i) for i, k in enumerate(texts)}
+    found = {k: sorted(((r.rec_number, r.response_type) for r in rows if r.doc_id == i), key=str) for i, k in enumerate(texts)}
     assert found["trust"] == [("1", "trust_response"), ("4", "trust_excluded"), ("5", "trust_excluded")]
     assert found["hssib_org"] == [("R/2024/025", "hssib_org_structured")]
     assert found["hsib"] == [("2018/006", "hsib_structured"), ("2018/007", "hsib_structured")]
