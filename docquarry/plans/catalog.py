@@ -11,7 +11,7 @@ from docquarry.functions import classify, text
 from docquarry.functions import lexicon as L
 from docquarry.functions.similarity import content_words, cosine, dot, jaccard, simple_similarity
 from docquarry.operators import align, recommend, respond, search, segment, stats, tables
-from docquarry.session import table
+from docquarry.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "filename", "word_count", "file_type", "source", "document_type").filter(F.col("text").isNotNull())
+    own = table(spark, sf, "documents").select("doc_id", "text", "filename", "word_count", "file_type", "source", "document_type")
+    return spread(own.filter(F.col("text").isNotNull()))
 
 
 def recs(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,3 +44,9 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     for name, column in columns.items():
         df = df.select(*(c for c in df.columns if c != name), F.explode(F.array(F.struct(column.alias("v")))).alias("__s")).withColumn(name, F.col("__s.v")).drop("__s")
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read in fewer parts than there are cores, as from one small file; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
