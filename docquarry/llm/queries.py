@@ -8,26 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import encode, neardup, packing, quality, readability, sentences, splitting, topn
-from docquarry.session import table
+from docquarry.session import spread, table
+
+
+
+def texts_of(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table of texts, over all cores."""
+    return spread(table(spark, sf, name).select(*columns))
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_quality(spark: SparkSession, sf: str) -> DataFrame:
     """The quality statistics and verdict of every preprocessed text."""
-    return quality.quality(table(spark, sf, "preprocessed_text"))
+    return quality.quality(texts_of(spark, sf, "preprocessed_text", "doc_id", "text"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of which running sentences make up less than half."""
-    rows = quality.quality(table(spark, sf, "preprocessed_text"))
+    rows = quality.quality(texts_of(spark, sf, "preprocessed_text", "doc_id", "text"))
     return rows.filter(F.col("running_share") < 0.5).select("doc_id").distinct()
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of recommendations and of responses that repeat one another."""
-    recommendations = table(spark, sf, "recommendations").select(F.col("rec_key").alias("id"), "text")
-    responses = table(spark, sf, "responses").select(F.col("resp_key").alias("id"), "text")
+    recommendations = texts_of(spark, sf, "recommendations", "rec_key", "text").withColumnRenamed("rec_key", "id")
+    responses = texts_of(spark, sf, "responses", "resp_key", "text").withColumnRenamed("resp_key", "id")
     kinds = {"recommendation": recommendations, "response": responses}
     first, second = (neardup.record_pairs(df).select(F.lit(kind).alias("kind"), "id_a", "id_b") for kind, df in kinds.items())
     return first.unionByName(second)
@@ -35,8 +42,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Every recommendation and response of enough words with its group of near-duplicates."""
-    recommendations = table(spark, sf, "recommendations").select(F.col("rec_key").alias("id"), "text")
-    responses = table(spark, sf, "responses").select(F.col("resp_key").alias("id"), "text")
+    recommendations = texts_of(spark, sf, "recommendations", "rec_key", "text").withColumnRenamed("rec_key", "id")
+    responses = texts_of(spark, sf, "responses", "resp_key", "text").withColumnRenamed("resp_key", "id")
     kinds = {"recommendation": recommendations, "response": responses}
     first, second = (neardup.record_groups(df).select(F.lit(kind).alias("kind"), "id", "group_id", "links") for kind, df in kinds.items())
     return first.unionByName(second)
@@ -57,43 +64,43 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Where the first overlong sentence of every oversized text begins."""
-    texts = table(spark, sf, "preprocessed_text")
+    texts = texts_of(spark, sf, "preprocessed_text", "doc_id", "text")
     return splitting.long_sentences(texts, quality.common_words(texts))
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """The pieces of every oversized text."""
-    texts = table(spark, sf, "preprocessed_text")
+    texts = texts_of(spark, sf, "preprocessed_text", "doc_id", "text")
     return splitting.split(texts, quality.common_words(texts))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences of preprocessed texts without spans and of all recommendations."""
-    texts = table(spark, sf, "preprocessed_text").filter(F.col("sentence_spans").isNull())
-    parts = {"preprocessed": sentences.sentence_rows(texts, "doc_id"), "recommendation": sentences.sentence_rows(table(spark, sf, "recommendations"), "rec_key")}
+    texts = spread(table(spark, sf, "preprocessed_text").filter(F.col("sentence_spans").isNull()).select("doc_id", "text"))
+    parts = {"preprocessed": sentences.sentence_rows(texts, "doc_id"), "recommendation": sentences.sentence_rows(texts_of(spark, sf, "recommendations", "rec_key", "text"), "rec_key")}
     first, second = (df.select(F.lit(kind).alias("kind"), "item_id", "start_at", "end_at") for kind, df in parts.items())
     return first.unionByName(second).distinct()
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The token ids of every document."""
-    return encode.token_ids(table(spark, sf, "documents"))
+    return encode.token_ids(texts_of(spark, sf, "documents", "doc_id", "text"))
 
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's place in containers of 2,048 tokens."""
-    return packing.containers(table(spark, sf, "documents"))
+    return packing.containers(texts_of(spark, sf, "documents", "doc_id", "text"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """The easiest and the most demanding English reports."""
-    rows = readability.reading_levels(table(spark, sf, "documents"))
+    rows = readability.reading_levels(texts_of(spark, sf, "documents", "doc_id", "text"))
     return rows.filter(F.col("band").isNotNull()).select("doc_id", "band").distinct()
 
 
 def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
     """The reading figures of every document."""
-    return readability.reading_levels(table(spark, sf, "documents"))
+    return readability.reading_levels(texts_of(spark, sf, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_quality, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p5_found, p6_ids, p7_containers, p8_found, p8_levels)}
