@@ -528,7 +528,7 @@ def align_legacy_top3(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def align_legacy_nested(spark: SparkSession, sf: str) -> DataFrame:
     own = recs(spark, sf)
-    return align.nested(align.top_three(own, resps(spark, sf), least=0.1, across=False), own)
+    return align.nested(align.top_three(own, resps(spark, sf), least=0.1), own)
 
 
 @query(f"""WITH l AS (SELECT doc_id, rec_key, rec_id, TRY_CAST(rec_number AS INTEGER) AS n, list_distinct(regexp_extract_all(lower(text), '{text.WORD}')) AS a FROM {RECS}),

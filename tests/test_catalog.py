@@ -43,3 +43,10 @@ def test_same_as_sql(spark, duck, name):
 
 def test_names():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+def test_legacy_alignment_looks_into_other_documents(spark):
+    rows = catalog.QUERIES["align_legacy_nested"](spark, str(DATA)).collect()
+    best = {r.rec_key: r.responses[0] for r in rows if r.responses}
+    assert any(not b.same_document for b in best.values())
+    assert {r.alignment_status for r in rows} >= {"Direct response", "Uncertain"}
