@@ -20,6 +20,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from docquarry.llm.sentences import BLANK, FUNCTION_SETS, SCRIPTS, language, spa
 LIMIT, OVERLAP = 1_500, 150
 RANGE = 1_000_000  # characters of a range
 HALO = 4_096  # characters read beyond a range
+BREAK_BYTES = [re.compile(x) for x in (rb"\n[ \t\r]*\n\s*", rb"(?:[.!?]|\xe3\x80\x82)[ \t\r]*\n\s*", rb"\n")]  # blank lines, lines that end as a sentence, lines
 LINE = re.compile(r"[^\n]*\S[^\n]*")
 PIECES = "doc_id bigint, piece int, start_at int, end_at int"
 
@@ -47,8 +49,11 @@ def units(text: str, common: frozenset[str]) -> list[tuple[int, int]]:
     return found if run * 2 >= solid else line_spans(text)
 
 
-def cut(size: int, found: list[tuple[int, int]], blank, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """The pieces of a text of ``size`` characters; ``blank(a, b)`` gives the last place of white space in a range, or -1."""
+def cut(size: int, found: list[tuple[int, int]], blank, limit: int = LIMIT, overlap: int = OVERLAP, whole=int) -> list[tuple[int, int]]:
+    """The pieces of a text of ``size`` characters; ``blank(a, b)`` gives the last place of white space in a range, or -1.
+
+    ``whole`` moves a place that falls inside a character back to its start, where offsets count bytes.
+    """
     starts, ends = [a for a, _ in found], [b for _, b in found]
     out, start = [], 0
     done = 0  # characters that pieces cover so far
@@ -61,15 +66,17 @@ def cut(size: int, found: list[tuple[int, int]], blank, limit: int = LIMIT, over
         if end < 0:
             end = blank(max(start + limit // 2, done + 1), start + limit)
         if end <= max(start, done):
-            end = start + limit
+            end = whole(start + limit)
         out.append((start, end))
         done = end
         k = bisect_left(starts, end - overlap)
         start = starts[k] if k < len(starts) and starts[k] < end else -1
         if start < 0:
             gap = blank(end - overlap, end - 1)
-            start = gap + 1 if gap >= 0 else end - overlap
-        start = max(start, out[-1][0] + 1)
+            start = gap + 1 if gap >= 0 else whole(end - overlap)
+        if start <= out[-1][0]:
+            start = whole(out[-1][0] + 1)
+            start = end if start <= out[-1][0] else start
 
 
 def last_blank(text: str, base: int = 0):
@@ -202,12 +209,13 @@ def long_sentences(df: DataFrame, common: frozenset[str], id_col: str = "doc_id"
     return _oversized(df, common, id_col, text_col, limit, OVERLAP, range_chars, halo, False)
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, range_bytes: int = RANGE, halo: int = HALO) -> DataFrame:
+def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, range_bytes: int = RANGE, halo: int = HALO, overlap: int = 0) -> DataFrame:
     """``path``, ``start_byte`` and ``end_byte`` of pieces of UTF-8 files of at most ``limit`` bytes, each file read in ranges.
 
-    A task seeks to its range, finds the ends of lines that begin in it and reads ``halo`` bytes beyond it at most;
-    the ends are stitched by prefix order, and pieces end at the furthest blank line or line end within the limit,
-    else at the limit, never inside a character.
+    A task seeks to its range and reads ``halo`` bytes on both sides, which complete the blank lines at its ends. The
+    stitched blank lines give units of whole paragraphs of about a range, which tasks read to find their sentences; where
+    a paragraph is longer than two ranges, a line that ends as a sentence ends the unit, beyond four any line. Pieces come from ``cut`` as for texts, ends in bytes and never inside a
+    character.
     """
     ranges = [(p, at) for p in paths for at in range(0, os.path.getsize(p), range_bytes)]
 
@@ -215,40 +223,63 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, range
         for pdf in batches:
             rows = []
             for path, at in zip(pdf["path"], pdf["at"], strict=True):
-                with open(path, "rb") as file:
-                    file.seek(at)
-                    chunk = file.read(range_bytes + 4)
-                ends = [m.end() + at for m in re.finditer(rb"\n", chunk[:range_bytes])]
-                # Where a line is longer than the limit, places between characters serve as ends.
-                marks, last = [], at
-                for e in [*ends, at + min(len(chunk), range_bytes)]:
-                    while e - last > limit // 2:
-                        last += limit // 2
-                        while last - at < len(chunk) and chunk[last - at] & 0xC0 == 0x80:
-                            last -= 1
-                        marks.append(last)
-                    last = e
-                rows.append((path, at, ends, marks))
-            yield pd.DataFrame(rows, columns=["path", "at", "ends", "marks"])
+                low = max(0, at - halo)
+                chunk = _bytes(path, low, at + range_bytes + halo)
+                rows.append((path, at, *([m.end() + low for m in kind.finditer(chunk) if at < m.end() + low <= at + range_bytes] for kind in BREAK_BYTES)))
+            yield pd.DataFrame(rows, columns=["path", "at", "blanks", "stops", "lines"])
+
+    def stitch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        size, cuts = os.path.getsize(key[0]), [0]
+        for a, far in sorted((int(b), far) for name, far in (("blanks", 1), ("stops", 2), ("lines", 4)) for r in pdf[name] for b in r if b < size):
+            if a - cuts[-1] >= far * range_bytes:
+                cuts.append(a)
+        return pd.DataFrame({"path": key[0], "at": cuts, "upto": [*cuts[1:], size]})
+
+    def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, at, upto in zip(pdf["path"], pdf["at"], pdf["upto"], strict=True):
+                part = _bytes(path, at, upto).decode("utf-8", "surrogateescape")
+                place = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogateescape")) for c in part])]).astype(np.int64) + at
+                found = sorted({(a, b) for x, y in spans(part) for a, b in _lines_of(part, x, y, place, limit)})
+                gaps = [m.end() - 1 for m in re.finditer(r"[ \t\r\n]+", part)]
+                rows.append((path, at, *(place[np.array(x, np.int64)].tolist() for x in ([a for a, _ in found], [b for _, b in found], gaps))))
+            yield pd.DataFrame(rows, columns=["path", "at", "starts", "ends", "gaps"])
 
     def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = sorted(int(e) for r in pdf["ends"] for e in r)
-        marks = sorted(int(e) for r in pdf["marks"] for e in r)
-        size, start, out = os.path.getsize(key[0]), 0, []
-        while start < size:
-            end = size
-            if size - start > limit:
-                for places in (ends, marks):
-                    k = bisect_right(places, start + limit) - 1
-                    if k >= 0 and places[k] > start:
-                        end = places[k]
-                        break
-                else:
-                    end = start + limit
-            out.append((key[0], start, end))
-            start = end
-        return pd.DataFrame(out, columns=["path", "start_byte", "end_byte"])
+        pdf = pdf.sort_values("at")
+        found = [(int(a), int(b)) for s, e in zip(pdf["starts"], pdf["ends"], strict=True) for a, b in zip(s, e, strict=True)]
+        gaps = [int(g) for r in pdf["gaps"] for g in r]
+
+        def blank(a: int, b: int) -> int:
+            k = bisect_left(gaps, b) - 1
+            return gaps[k] if k >= 0 and gaps[k] >= a else -1
+
+        with open(key[0], "rb") as file:
+
+            def whole(at: int) -> int:
+                """``at`` or the start of the character that it is inside of."""
+                for back in range(4):
+                    file.seek(at - back)
+                    if (file.read(1) or b" ")[0] & 0xC0 != 0x80:
+                        return at - back
+                return at
+
+            out = cut(os.path.getsize(key[0]), found, blank, limit, overlap, whole)
+        return pd.DataFrame({"path": key[0], "start_byte": [a for a, _ in out], "end_byte": [b for _, b in out]})
 
     table = spark.createDataFrame(ranges, "path string, at bigint").repartition(max(1, len(ranges)))
-    found = table.mapInPandas(scan, "path string, at bigint, ends array<bigint>, marks array<bigint>")
+    units_ = table.mapInPandas(scan, "path string, at bigint, blanks array<bigint>, stops array<bigint>, lines array<bigint>").groupBy("path").applyInPandas(stitch, "path string, at bigint, upto bigint")
+    found = units_.repartition(max(1, len(ranges))).mapInPandas(sentences, "path string, at bigint, starts array<bigint>, ends array<bigint>, gaps array<bigint>")
     return found.groupBy("path").applyInPandas(emit, "path string, start_byte bigint, end_byte bigint")
+
+
+def _bytes(path: str, start: int, end: int) -> bytes:
+    with open(path, "rb") as file:
+        file.seek(start)
+        return file.read(end - start)
+
+
+def _lines_of(part: str, a: int, b: int, place, limit: int) -> list[tuple[int, int]]:
+    """A sentence, or its lines where it is longer than the limit, as in lists and tables."""
+    return [(a, b)] if place[b] - place[a] <= limit else [(a + x, a + y) for x, y in line_spans(part[a:b])]

@@ -133,6 +133,17 @@ def test_files(spark, tmp_path):
     assert "".join(data[a:b].decode() for a, b in out) == data.decode()
 
 
+def test_files_of_long_lines_end_at_sentences(spark, tmp_path):
+    file = tmp_path / "lines.txt"
+    paragraph = " ".join(f"The board of Zoë met again and read log {i} at noon." for i in range(80))
+    file.write_text("\n\n".join([paragraph] * 4 + ["\n".join([paragraph] * 3)]), encoding="utf-8")
+    data = file.read_bytes()
+    out = sorted((r.start_byte, r.end_byte) for r in splitting.split_files(spark, [str(file)], limit=500, range_bytes=1000, halo=64, overlap=80).collect())
+    assert out[0][0] == 0 and out[-1][1] == len(data)
+    assert all(data[a:b].endswith(b".") and b - a <= 500 for a, b in out)
+    assert all(c < b and data[c : c + 9] == b"The board" for (_, b), (c, _) in zip(out, out[1:]))
+
+
 EASY = "The dog ran. Can you see the cat? We will go to the park with you. The man had a hat. " * 6
 HARD = (
     "The methodological deficiencies identified by the independent commission necessarily presupposed the administrative configuration, thereby exacerbating the "
