@@ -107,22 +107,38 @@ FUNCTION_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 SCRIPTS = re.compile("[Ͱ-Ͽἀ-῿]+|[؀-ۿ]+|[ऀ-ॿ]+|[฀-๿]+|[぀-ヿ]+|[一-鿿]+")
 
 
+def script_counts(text: str) -> dict[str, int]:
+    """The letters of each script other than the Latin one."""
+    count = {"el": 0, "ar": 0, "hi": 0, "th": 0, "ja": 0, "zh": 0}
+    for run in SCRIPTS.findall(text):
+        c = run[0]
+        count["el" if c < "؀" or c > "ỿ" and c < " " else "ar" if c < "܀" else "hi" if c < "ঀ" else "th" if c < "ༀ" else "ja" if c < "㄀" else "zh"] += len(run)
+    return count
+
+
+def script_language(count: dict[str, int], size: int) -> str | None:
+    """The language of the script that is frequent enough in a text of ``size`` characters."""
+    count = dict(count)
+    best = max(count, key=count.get)
+    if best in ("ja", "zh"):
+        total = count["ja"] + count["zh"]
+        best = "ja" if count["ja"] * 8 > total else "zh"
+        count[best] = total * 3
+    return best if count[best] * 4 > size else None
+
+
+def word_language(words: set[str]) -> str:
+    """The language of the Latin script by its function words."""
+    return max(FUNCTION_SETS, key=lambda k: (len(words & FUNCTION_SETS[k]) / (1 + 0.02 * len(FUNCTION_SETS[k])), k == "en"))
+
+
 def language(text: str) -> str:
     """The language whose rules a text gets: by its script, and in the Latin script by its function words."""
     if len(text.encode()) * 4 >= len(text) * 5:  # else too few letters of another script for it to decide
-        count = {"el": 0, "ar": 0, "hi": 0, "th": 0, "ja": 0, "zh": 0}
-        for run in SCRIPTS.findall(text):
-            c = run[0]
-            count["el" if c < "؀" or c > "ỿ" and c < " " else "ar" if c < "܀" else "hi" if c < "ঀ" else "th" if c < "ༀ" else "ja" if c < "㄀" else "zh"] += len(run)
-        best = max(count, key=count.get)
-        if best in ("ja", "zh"):
-            total = count["ja"] + count["zh"]
-            best = "ja" if count["ja"] * 8 > total else "zh"
-            count[best] = total * 3
-        if count[best] * 4 > len(text):
-            return best
-    words = set(text.lower().split())
-    return max(FUNCTION_SETS, key=lambda k: (len(words & FUNCTION_SETS[k]) / (1 + 0.02 * len(FUNCTION_SETS[k])), k == "en"))
+        found = script_language(script_counts(text), len(text))
+        if found:
+            return found
+    return word_language(set(text.lower().split()))
 
 
 class Cascade:

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.quality import may_hold_codes, weigh
-from docquarry.llm.sentences import BLANK, FUNCTION_SETS, SCRIPTS, language, spans
+from docquarry.llm.sentences import BLANK, FUNCTION_SETS, language, script_counts, script_language, spans, word_language
 
 LIMIT, OVERLAP = 1_500, 150
-RANGE = 1_000_000  # characters of a range
+RANGE = 8_000  # characters of a range; longer texts go by ranges
+FILE_RANGE = 1_000_000  # bytes of a range of a file
 HALO = 4_096  # characters read beyond a range
 BREAK_BYTES = [re.compile(x) for x in (rb"\n[ \t\r]*\n\s*", rb"(?:[.!?]|\xe3\x80\x82)[ \t\r]*\n\s*", rb"\n")]  # blank lines, lines that end as a sentence, lines
+ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_SETS.values())
 LINE = re.compile(r"[^\n]*\S[^\n]*")
 PIECES = "doc_id bigint, piece int, start_at int, end_at int"
 
@@ -119,12 +121,13 @@ def _breaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lead = 1 if base else 0  # one character before the range shows whether a break has begun already
             found = [(m.start() - lead + base, m.end() - lead + base) for m in BLANK.finditer(chunk) if lead <= m.start() < lead + size]
             own = chunk[lead : lead + size]
-            words = set(own.lower().split())
-            votes = {k: sorted(words & v) for k, v in FUNCTION_SETS.items()}
-            scripts = [0] * 7
-            for r in SCRIPTS.findall(own):
-                scripts["Ͱἀ؀ऀ฀぀一".index(max(c for c in "Ͱἀ؀ऀ฀぀一" if c <= r[0]))] += len(r)
-            rows.append((key, base, [a for a, _ in found], [b for _, b in found], scripts, [w for v in votes.values() for w in v]))
+            first, last = lead, lead + size  # the words that begin in the range
+            while lead and first < last and not chunk[first - 1].isspace():
+                first += 1
+            while first < last < len(chunk) and not chunk[last - 1].isspace() and not chunk[last].isspace():
+                last += 1
+            words = set(chunk[first:last].lower().split()) & ALL_FUNCTION_WORDS
+            rows.append((key, base, [a for a, _ in found], [b for _, b in found], [len(own.encode()), *script_counts(own).values()], sorted(words)))
         yield pd.DataFrame(rows, columns=["doc_id", "base", "starts", "ends", "scripts", "words"])
 
 
@@ -143,10 +146,9 @@ def _stitch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if b - cuts[-1] > limit and a > cuts[-1]:
             cuts.append(a)
     cuts.append(size)
-    scripts = [sum(int(r[i]) for r in pdf["scripts"]) for i in range(7)]
-    sample = "".join(c * min(n, 10_000_000) for c, n in zip("Ͱἀ؀ऀ฀぀一", scripts, strict=True))
-    words = " ".join(sorted({w for r in pdf["words"] for w in r}))
-    lang = language(sample) if sum(scripts) * 4 > size else language(words)
+    coded, *scripts = (sum(int(r[i]) for r in pdf["scripts"]) for i in range(7))
+    lang = script_language(dict(zip(script_counts(""), scripts, strict=True)), size) if coded * 4 >= size * 5 else None
+    lang = lang or word_language({w for r in pdf["words"] for w in r})
     return pd.DataFrame({"doc_id": key[0], "unit": range(len(cuts) - 1), "at": cuts[:-1], "upto": cuts[1:], "lang": lang})
 
 
@@ -166,11 +168,11 @@ def _ranged(df: DataFrame, shared, limit: int, overlap: int, range_chars: int, h
             for key, at, lang, part in zip(pdf["doc_id"], pdf["at"], pdf["lang"], pdf["part"], strict=True):
                 found, lines = spans(part, lang), line_spans(part)
                 _, run, solid = weigh(part, found, lang, shared.value, may_hold_codes(part)) if found else ([], 0, 0)
-                gaps = [m.start() + at for m in re.finditer(r"\s+(?=\S)", part)]
-                rows.append((key, at, at + len(part), [a + at for a, _ in found], [b + at for _, b in found], [a + at for a, _ in lines], [b + at for _, b in lines], gaps, run, solid))
-            yield pd.DataFrame(rows, columns=["doc_id", "at", "upto", "starts", "ends", "line_starts", "line_ends", "gaps", "run", "solid"])
+                gaps = [(m.start() + at, m.end() + at) for m in re.finditer(r"\s+", part)]
+                rows.append((key, at, at + len(part), [a + at for a, _ in found], [b + at for _, b in found], [a + at for a, _ in lines], [b + at for _, b in lines], [a for a, _ in gaps], [b for _, b in gaps], run, solid))
+            yield pd.DataFrame(rows, columns=["doc_id", "at", "upto", "starts", "ends", "line_starts", "line_ends", "gaps", "gap_ends", "run", "solid"])
 
-    schema = "doc_id bigint, at int, upto int, starts array<int>, ends array<int>, line_starts array<int>, line_ends array<int>, gaps array<int>, run bigint, solid bigint"
+    schema = "doc_id bigint, at int, upto int, starts array<int>, ends array<int>, line_starts array<int>, line_ends array<int>, gaps array<int>, gap_ends array<int>, run bigint, solid bigint"
     offsets = texts.mapInPandas(sentences, schema)
 
     def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,11 +181,11 @@ def _ranged(df: DataFrame, shared, limit: int, overlap: int, range_chars: int, h
         found = [(int(a), int(b)) for s, e in zip(pdf[names[0]], pdf[names[1]], strict=True) for a, b in zip(s, e, strict=True)]
         if not pieces:
             return pd.DataFrame({"doc_id": [key[0]], "long_at": [long_start(found, limit)]})
-        gaps = [int(g) for r in pdf["gaps"] for g in r]
+        gaps, gap_ends = ([int(g) for r in pdf[name] for g in r] for name in ("gaps", "gap_ends"))
 
         def blank(a: int, b: int) -> int:
             k = bisect_left(gaps, b) - 1
-            return gaps[k] if k >= 0 and gaps[k] >= a else -1
+            return last if k >= 0 and (last := min(gap_ends[k], b) - 1) >= a else -1
 
         out = cut(int(pdf["upto"].max()), found, blank, limit, overlap)
         return pd.DataFrame({"doc_id": key[0], "piece": range(len(out)), "start_at": [a for a, _ in out], "end_at": [b for _, b in out]})
@@ -195,8 +197,10 @@ def _oversized(df: DataFrame, common: frozenset[str], id_col: str, text_col: str
     own = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") > limit))
     shared = df.sparkSession.sparkContext.broadcast(common)
     small = _whole(own.filter(F.length("text") <= range_chars), shared, limit, overlap, pieces).distinct()
-    giant = own.filter(F.length("text") > range_chars).dropDuplicates(["doc_id"])
-    return small.unionByName(_ranged(giant, shared, limit, overlap, range_chars, halo, pieces))
+    giant = own.filter(F.length("text") > range_chars).withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.xxhash64("own_id", "text")).dropDuplicates(["doc_id"])
+    ranged = _ranged(giant.select("doc_id", "text"), shared, limit, overlap, range_chars, halo, pieces)
+    named = ranged.join(giant.select("doc_id", "own_id"), "doc_id").withColumn("doc_id", F.col("own_id")).drop("own_id")
+    return small.unionByName(named.distinct())
 
 
 def split(df: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, halo: int = HALO) -> DataFrame:
@@ -209,7 +213,7 @@ def long_sentences(df: DataFrame, common: frozenset[str], id_col: str = "doc_id"
     return _oversized(df, common, id_col, text_col, limit, OVERLAP, range_chars, halo, False)
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, range_bytes: int = RANGE, halo: int = HALO, overlap: int = 0) -> DataFrame:
+def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, range_bytes: int = FILE_RANGE, halo: int = HALO, overlap: int = 0) -> DataFrame:
     """``path``, ``start_byte`` and ``end_byte`` of pieces of UTF-8 files of at most ``limit`` bytes, each file read in ranges.
 
     A task seeks to its range and reads ``halo`` bytes on both sides, which complete the blank lines at its ends. The

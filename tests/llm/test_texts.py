@@ -123,6 +123,16 @@ def test_ranges_give_the_same(spark):
     assert rows(splitting.long_sentences(df, COMMON, range_chars=700, halo=60)) == rows(splitting.long_sentences(df, COMMON))
 
 
+def test_ranges_have_the_same_language_and_gaps(spark):
+    mixed = "委员会查看了名单并要求整改。" * 40 + "\n\n" + "A log was kept at No. 5 by the board. " * 80  # zh by less than a quarter of the characters
+    wide = ("word" * 20 + "   ") * 60  # runs of white space, no sentence ends
+    rows = [(1, mixed), (2, wide), (2, wide + "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = lambda r: sorted(tuple(x) for x in splitting.split(df, COMMON, range_chars=r, halo=60).collect())
+    assert language(mixed) == "zh" and whole(700) == whole(1_000_000)
+    assert splitting.RANGE < 50_000  # the longest texts go by ranges
+
+
 def test_files(spark, tmp_path):
     file = tmp_path / "giant.txt"
     file.write_text("\n".join("é" * (i % 700) for i in range(60)), encoding="utf-8")
