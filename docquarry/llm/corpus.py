@@ -15,6 +15,12 @@ MOST_WORDS = 50_000  # words kept at most, which bounds what tasks are sent
 FLUSH = 200_000  # distinct words that a task counts before it passes them on
 
 
+def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` without repeated deliveries of an id's text, found by a hash of the text; each task passes on one of a kind."""
+    hashed = df.select(id_col, text_col, F.xxhash64(text_col).alias("hash"))
+    return hashed.groupBy(id_col, "hash").agg(F.first(text_col).alias(text_col)).select(id_col, text_col)
+
+
 def document_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``word`` and ``docs``, the number of texts that hold it, in lower case; counted per task before the shuffle."""
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.corpus import WORD, document_frequencies, head
+from docquarry.llm.corpus import WORD, distinct_rows, document_frequencies, head
 from docquarry.llm.sentences import language, spans
 
 COMMON_SHARE = 0.001  # part of all texts that must hold a word for it to be common
@@ -170,7 +170,8 @@ def all_statistics(keys: list[int], texts: list[str | None], common: frozenset[s
 
 
 def common_words(df: DataFrame, text_col: str = "text", share: float = COMMON_SHARE) -> frozenset[str]:
-    """The words that at least ``share`` of all texts hold; a bounded number of them."""
+    """The words that at least ``share`` of all texts hold, repeated rows of one ``doc_id`` and text counted once; a bounded number of them."""
+    df = distinct_rows(df, text_col=text_col)
     least = max(3, int(share * df.count()))
     return frozenset(w for w, _ in head(document_frequencies(df, text_col), least))
 

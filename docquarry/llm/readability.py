@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.corpus import WORD, document_frequencies, head
+from docquarry.llm.corpus import WORD, distinct_rows, document_frequencies, head
 from docquarry.llm.sentences import FUNCTION_SETS, language, spans
 
 FAMILIAR_SHARE = 0.002  # part of all texts that must hold a word for it to be familiar
@@ -91,7 +91,8 @@ def measure(key: int, text: str | None, familiar: frozenset[str]) -> tuple:
 
 
 def familiar_words(df: DataFrame, text_col: str = "text", share: float = FAMILIAR_SHARE, letters: int = FAMILIAR_LETTERS) -> frozenset[str]:
-    """The short words that at least ``share`` of all texts hold; a bounded number of them."""
+    """The short words that at least ``share`` of all texts hold, repeated rows of one ``doc_id`` and text counted once; a bounded number of them."""
+    df = distinct_rows(df, text_col=text_col)
     least = max(2, int(share * df.count()))
     short = document_frequencies(df, text_col).filter(F.length("word") <= letters)
     return frozenset(w for w, _ in head(short, least))

@@ -84,6 +84,14 @@ def test_verdicts(spark):
     assert quality.quality(df).count() == len(rows)
 
 
+def test_repeated_rows_make_no_word_common(spark):
+    rows = [(k, PROSE) for k in range(1, 4)] + [(9, JUNK)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert "board" in quality.common_words(df) and "wivo" not in quality.common_words(df)
+    assert "board" in readability.familiar_words(df) and "wivo" not in readability.familiar_words(df)
+    assert {r.verdict for r in quality.quality(df).filter("doc_id = 9").collect()} == {"junk"}
+
+
 def test_ngrams():
     got = quality.top_ngrams(["a b a b c a b".split(), ["x"], [], "in the end in the end in the end".split()]).tolist()
     assert got == [[6, 0, 0], [0, 0, 0], [0, 0, 0], [18, 24, 22]]
