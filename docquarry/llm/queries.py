@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import encode, neardup, packing, quality, readability, sentences, splitting, topn
@@ -31,22 +31,25 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.filter(F.col("running_share") < 0.5).select("doc_id").distinct()
 
 
+def two_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Recommendations (kind 0) and responses (kind 1) as one table."""
+    tables = (("recommendations", "rec_key"), ("responses", "resp_key"))
+    first, second = (texts_of(spark, sf, name, key, "text").select(F.lit(k).alias("kind"), F.col(key).alias("id"), "text") for k, (name, key) in enumerate(tables))
+    return first.unionByName(second)
+
+
+def kind_name() -> Column:
+    return F.when(F.col("kind") == 0, "recommendation").otherwise("response").alias("kind")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of recommendations and of responses that repeat one another."""
-    recommendations = texts_of(spark, sf, "recommendations", "rec_key", "text").withColumnRenamed("rec_key", "id")
-    responses = texts_of(spark, sf, "responses", "resp_key", "text").withColumnRenamed("resp_key", "id")
-    kinds = {"recommendation": recommendations, "response": responses}
-    first, second = (neardup.record_pairs(df).select(F.lit(kind).alias("kind"), "id_a", "id_b") for kind, df in kinds.items())
-    return first.unionByName(second)
+    return neardup.record_pairs(two_kinds(spark, sf)).select(kind_name(), "id_a", "id_b")
 
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Every recommendation and response of enough words with its group of near-duplicates."""
-    recommendations = texts_of(spark, sf, "recommendations", "rec_key", "text").withColumnRenamed("rec_key", "id")
-    responses = texts_of(spark, sf, "responses", "resp_key", "text").withColumnRenamed("resp_key", "id")
-    kinds = {"recommendation": recommendations, "response": responses}
-    first, second = (neardup.record_groups(df).select(F.lit(kind).alias("kind"), "id", "group_id", "links") for kind, df in kinds.items())
-    return first.unionByName(second)
+    return neardup.record_groups(two_kinds(spark, sf)).select(kind_name(), "id", "group_id", "links")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
