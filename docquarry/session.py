@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and remembered for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on one machine, as in
+    tests, a temporary folder is made and remembered for the session; on a cluster that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -26,9 +29,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and go on from the written copy.
+
+    What its making shuffled is not needed any more. Spark removes such files only when the driver's objects for them are
+    collected, which a driver with memory to spare puts off until the disks are full; so it is asked to collect them now.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    written = df.checkpoint(eager=True)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
