@@ -26,9 +26,9 @@ def p1_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of which running sentences make up less than half."""
+    """Texts that the combined rules do not take for prose."""
     rows = quality.quality(texts_of(spark, sf, "preprocessed_text", "doc_id", "text"))
-    return rows.filter(F.col("running_share") < 0.5).select("doc_id").distinct()
+    return rows.filter(~F.col("verdict").isin("prose", "empty")).select("doc_id").distinct()
 
 
 def two_kinds(spark: SparkSession, sf: str) -> DataFrame:

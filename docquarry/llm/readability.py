@@ -19,12 +19,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.corpus import WORD, distinct_rows, document_frequencies, head
-from docquarry.llm.sentences import FUNCTION_SETS, language, spans
+from docquarry.llm.corpus import head
+from docquarry.llm.sentences import FUNCTION_WORDS, languages, spans
+from docquarry.llm.words import Words, chunked, hashed, member
 
 FAMILIAR_SHARE = 0.002  # part of all texts that must hold a word for it to be familiar
 FAMILIAR_LETTERS = 6  # letters of a familiar word at most
@@ -35,15 +37,19 @@ LEAST_UNFAMILIAR = 0.38  # share of unfamiliar words of a hard text; where it is
 PROSE = 0.7  # part of the words that must stand in sentences with enough function words
 SCHEMA = "doc_id bigint, words bigint, sentences bigint, unfamiliar_share double, mean_sentence_words double, grade double, prose_share double, easy_share double, hard_share double, band string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-ODD_SPACES = str.maketrans({0xA0: " ", 0x2009: " ", 0x202F: " ", 0x200B: "", 0xAD: "", 0xFEFF: "", 0x0C: "\n\n", 0x2028: "\n", 0x2029: "\n\n", 0x0D: ""})
+ODD_SPACES = {"\xa0": " ", "\u2009": " ", "\u202f": " ", "\u200b": "", "\xad": "", "\ufeff": "", "\x0c": "\n\n", "\u2028": "\n", "\u2029": "\n\n", "\r": ""}
 CUT_WORD = re.compile(r"(?<=[a-z])[-‐]\n(?=[a-z])")
 MARK = re.compile(r"[ \t]*(?:[-*•◦▪·‣–—]|\[[ xX]?\]|\(?\d{1,3}[.)])[ \t]+")
-FUNCTION = FUNCTION_SETS["en"] | frozenset("a an as not no or but be are were been which who whose when if so we you your our i he she they them their its there into any all can could did do does had have may must should would than out up it's me my what why how more one because after before during although".split())
+FUNCTION = hashed(FUNCTION_WORDS["en"] + "a an as not no or but be are were been which who whose when if so we you your our i he she they them their its there into any all can could did do does had have may must should would than out up it's me my what why how more one because after before during although".split())
 
 
 def cleaned(text: str) -> str:
     """The text without extractor dirt, its sentence-like lines set apart by blank lines."""
-    text = CUT_WORD.sub("", text.translate(ODD_SPACES))
+    for odd, plain in ODD_SPACES.items():
+        if odd in text:
+            text = text.replace(odd, plain)
+    if "-\n" in text or "‐\n" in text:
+        text = CUT_WORD.sub("", text)
     lines = text.split("\n")
     solid = [x.strip() for x in lines]
     if len(lines) > 3:
@@ -56,55 +62,49 @@ def cleaned(text: str) -> str:
     return "\n\n".join(MARK.sub("", x) for x in filled) if apart else "\n".join(lines)
 
 
-def measure(key: int, text: str | None, familiar: frozenset[str]) -> tuple:
-    """One row of the result."""
-    if not text or text.isspace():
-        return (key, 0, 0, *[None] * 7)
-    lang, count = language(text), len(text.split())
-    clean = cleaned(text)
-    words = odd = sentences = prose = easy = hard = 0
-    for a, b in spans(clean, lang):
-        own = WORD.findall(clean[a:b].lower())
-        n = len(own)
-        if not n:
-            continue
-        other = sum([w not in familiar for w in own])
-        words += n
-        odd += other
-        sentences += 1
-        if n < 3 or sum([w in FUNCTION for w in own]) >= 0.15 * n:
-            prose += n
-        if n <= 16 and other <= max(1, 0.3 * n):
-            easy += n
-        elif n >= 20 and other >= 0.28 * n:
-            hard += n
-    if not words:
-        return (key, 0, 0, *[None] * 7)
-    share, length = odd / words, words / sentences
-    band = None
-    if lang == "en" and count >= LEAST_WORDS and prose >= PROSE * words:
-        if easy >= THROUGHOUT * words and share <= 0.12 and length <= 13:
-            band = "easy"
-        elif share >= LEAST_UNFAMILIAR and hard / words + 1.5 * (share - LEAST_UNFAMILIAR) >= 0.97 and length >= 24:
-            band = "hard"
-    return (key, words, sentences, share, length, UNFAMILIAR_WEIGHT * share + LENGTH_WEIGHT * length, prose / words, easy / words, hard / words, band)
-
-
-def familiar_words(df: DataFrame, text_col: str = "text", share: float = FAMILIAR_SHARE, letters: int = FAMILIAR_LETTERS) -> frozenset[str]:
-    """The short words that at least ``share`` of all texts hold, repeated rows of one ``doc_id`` and text counted once; a bounded number of them."""
-    df = distinct_rows(df, text_col=text_col)
-    least = max(2, int(share * df.count()))
-    short = document_frequencies(df, text_col).filter(F.length("word") <= letters)
-    return frozenset(w for w, _ in head(short, least))
-
-
-def reading_levels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", familiar: frozenset[str] | None = None) -> DataFrame:
-    """One row of figures per row of ``df``; ``familiar`` is taken from ``df`` itself if not given."""
+def measures(keys: list[int], texts: list[str | None], familiar: np.ndarray) -> Iterator[tuple]:
+    """The rows of many texts."""
+    for start, part in chunked(texts):
+        clean = [cleaned(t) for t in part]
+        own = Words(clean)
+        langs = languages(own)
+        found = [spans(t, lang) for t, lang in zip(clean, langs, strict=True)]
+        count = [len(x) for x in found]
+        place = np.array([x for f in found for x in f], np.int64).reshape(-1, 2) + np.repeat(own.base, count)[:, None]
+        before = np.searchsorted(own.start, place)
+        n, odd, function = (x[before[:, 1]] - x[before[:, 0]] for x in (np.concatenate([[0], np.cumsum(y)]) for y in (np.ones(len(own.hash), np.int64), ~member(own.hash, familiar), member(own.hash, FUNCTION))))
+        grade = UNFAMILIAR_WEIGHT * odd / np.maximum(1, n) + LENGTH_WEIGHT * n
+        prose = (n > 0) & ((n < 3) | (function >= 0.15 * n))
+        easy = (n > 0) & (n <= 16) & (odd <= np.maximum(1, 0.3 * n))
+        hard = ~easy & (n >= 20) & (odd >= 0.28 * n)
+        doc = np.repeat(np.arange(len(part)), count)
+        sums = (np.bincount(doc, x, len(part)).astype(np.int64).tolist() for x in (n, odd, n > 0, n * prose, n * easy, n * hard))
+        for key, text, lang, words, other, sentences, prosy, easily, hardly in zip(keys[start:], part, langs, *sums, strict=False):
+            if not words:
+                yield (key, 0, 0, *[None] * 7)
+                continue
+            share, length = other / words, words / sentences
+            band = None
+            if lang == "en" and len(text.split()) >= LEAST_WORDS and prosy >= PROSE * words:
+                if easily >= THROUGHOUT * words and share <= 0.12 and length <= 13:
+                    band = "easy"
+                elif share >= LEAST_UNFAMILIAR and hardly / words + 1.5 * (share - LEAST_UNFAMILIAR) >= 0.97 and length >= 24:
+                    band = "hard"
+            yield (key, words, sentences, share, length, UNFAMILIAR_WEIGHT * share + LENGTH_WEIGHT * length, prosy / words, easily / words, hardly / words, band)
+
+
+def familiar_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FAMILIAR_SHARE, letters: int = FAMILIAR_LETTERS) -> np.ndarray:
+    """The hashes of the short words that at least ``share`` of all texts hold, repeated rows of one id and text counted once; their number does not grow with the texts'."""
+    return head(df, share, 2, id_col, text_col, letters)
+
+
+def reading_levels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", familiar: np.ndarray | None = None) -> DataFrame:
+    """One row of figures per row of ``df``; ``familiar``, hashes of words in order, is taken from ``df`` itself if not given."""
     own = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(familiar_words(own) if familiar is None else familiar)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([measure(k, t, shared.value) for k, t in zip(pdf["doc_id"], pdf["text"], strict=True)], columns=COLUMNS)
+            yield pd.DataFrame(measures(pdf["doc_id"].tolist(), pdf["text"].tolist(), shared.value), columns=COLUMNS)
 
     return own.mapInPandas(run, SCHEMA)

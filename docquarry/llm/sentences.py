@@ -1,10 +1,11 @@
 """Problem 5: sentence boundaries across languages and scripts, by cascading tables of break and no-break rules.
 
-Every place after a stop is a candidate. A rule is a pair of regular expressions, one for the words before
-the place and one for what follows; the tables of the text's language come first, the common ones after
-them, and the first rule that matches decides. Blank lines always end a sentence, and nothing breaks
-inside a quotation or bracket that closes within its paragraph. Thai sentences end at spaces that do not
-touch a number.
+Every place after a stop is a candidate, in Thai every space. A rule is a pair of regular expressions, one
+for the words before the place and one for those that follow; the tables of the text's language come first,
+the common ones after them, and the first rule that matches decides. Blank lines always end a sentence, and
+nothing breaks inside a quotation or bracket that closes within its paragraph. Rules see the whole last word
+before a place, the one before it where they ask for it, and the two words after it; of a word of more than
+64 characters the nearest 64, for no rule names so long a word.
 
 Defined results: null, empty and blank texts have no sentences; spans are ordered, do not overlap and
 leave out the white space around sentences; offsets count characters.
@@ -15,11 +16,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.words import SCRIPTS, Words, chunked, hashed, member
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -58,7 +63,7 @@ COMMON = [
     Rule(False, LEAD + _words(*TITLES), r"\s*\S"),
     Rule(False, LEAD + _words(*INSIDE), r"\s*\S"),
     Rule(False, LEAD + _words(*BEFORE_NUMBERS, *MONTHS), DIGIT),
-    Rule(False, r".*\.", r"\s*(?:AND|OR|WAS|WERE|IS|ARE|HAD|HAS|HAVE|BUT|WHICH)\s(?!.*[a-z])"),
+    Rule(False, r"[^a-z]*\.", r"\s*(?:AND|OR|WAS|WERE|IS|ARE|HAD|HAS|HAVE|BUT|WHICH)\s(?!.*[a-z])"),
     Rule(True, r"(?:[£$€]?[\d.,]*\d ?[Mm]|\d[\d.:]* ?[AaPp]\.[Mm])\.", CAPITAL + "|" + DIGIT, wide=True),
     Rule(False, LEAD + r"(?:[A-Z]\.)+", r"\s*[A-Z]"),  # initials
     Rule(False, r".*", rf"\s*[{LOWER}](?![A-Z])"),
@@ -92,53 +97,59 @@ CASELESS = [
     Rule(True, r".*", r"(?:\s|$)"),
     Rule(True, r".*[.!?…؟।]+.?", r"[^\W\d_A-Za-z]"),
 ]
-TABLES |= {"ar": CASELESS, "hi": CASELESS}
+UNSPACED = [
+    Rule(False, r".*[」』”’）)]", r"[とっ，、,的]"),
+    Rule(False, r".*", r"[、，,；;）)]"),
+    Rule(False, LEAD + _words(*TITLES, *INSIDE), r"\s*\S"),
+    Rule(False, r"(?:.*[^A-Za-z])?" + _words(*BEFORE_NUMBERS, *MONTHS), DIGIT),
+    Rule(False, LEAD + r"\d{1,3}\.", LABEL),
+    Rule(True, r".*"),
+]
+THAI = [Rule(True, r".*[฀-๿”’\"»)!?…]", r"\s*[฀-๿“‘\"«(A-Z]")]
+WHOLE = {"ar": CASELESS, "hi": CASELESS, "zh": UNSPACED, "ja": UNSPACED, "th": THAI}  # tables that the common one does not follow
 
-# Frequent function words that tell the languages of the Latin script apart.
+# Frequent function words that tell the languages of the Latin script apart; none of one letter, which lists use as labels.
 FUNCTION_WORDS = {
     "en": "the of and to was for in by that is with on at from has this it be will".split(),
-    "fr": "le la les des une est dans pour sur du et au avec qui par pas l'équipe cas".split(),
-    "de": "der die das und den dem von für nicht ein eine im des auf nach am mit".split(),
-    "es": "el la los las del una en por con para que se al según y de lista".split(),
-    "cy": "y yr yn ar mae'r wedi ei gan heb pwy pam ac o i ni".split(),
-    "pl": "i w z na się nie do przy oraz że wg np. tj. jest od bez rada komisja".split(),
+    "fr": "le la les des une est dans pour sur du et au avec qui par pas que ce aux ont".split(),
+    "de": "der die das und den dem von für nicht ein eine im des auf nach am mit ist zu".split(),
+    "es": "el la los las del una en por con para que se al de es lo como su".split(),
+    "cy": "yr yn ar mae'r wedi ei gan heb pwy pam ac ni mae i'r a'r o'r".split(),
+    "pl": "na się nie przy oraz że jest od bez dla po jak za jego przez tylko".split(),
 }
-FUNCTION_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
-SCRIPTS = re.compile("[Ͱ-Ͽἀ-῿]+|[؀-ۿ]+|[ऀ-ॿ]+|[฀-๿]+|[぀-ヿ]+|[一-鿿]+")
+LATIN = list(FUNCTION_WORDS)
+_HASHES = hashed([w for own in FUNCTION_WORDS.values() for w in own])
+_OF = np.array([np.isin(_HASHES, hashed(own)) for own in FUNCTION_WORDS.values()]).T  # which language has which word
+_WEIGHT = np.array([1 / (1 + 0.02 * len(own)) for own in FUNCTION_WORDS.values()])
 
 
-def script_counts(text: str) -> dict[str, int]:
-    """The letters of each script other than the Latin one."""
-    count = {"el": 0, "ar": 0, "hi": 0, "th": 0, "ja": 0, "zh": 0}
-    for run in SCRIPTS.findall(text):
-        c = run[0]
-        count["el" if c < "؀" or c > "ỿ" and c < " " else "ar" if c < "܀" else "hi" if c < "ঀ" else "th" if c < "ༀ" else "ja" if c < "㄀" else "zh"] += len(run)
-    return count
+def function_words(own: Words) -> np.ndarray:
+    """Which of the function words of all languages are in each text."""
+    found = member(own.hash, _HASHES)
+    out = np.zeros((len(own.size), len(_HASHES)), bool)
+    out[own.doc[found], np.searchsorted(_HASHES, own.hash[found])] = True
+    return out
 
 
-def script_language(count: dict[str, int], size: int) -> str | None:
-    """The language of the script that is frequent enough in a text of ``size`` characters."""
-    count = dict(count)
-    best = max(count, key=count.get)
-    if best in ("ja", "zh"):
-        total = count["ja"] + count["zh"]
-        best = "ja" if count["ja"] * 8 > total else "zh"
-        count[best] = total * 3
-    return best if count[best] * 4 > size else None
+def decided(scripts: np.ndarray, functions: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The language whose rules each text gets: by its script, and in the Latin script by its function words, English first."""
+    count = scripts.astype(np.int64)
+    both = count[:, 5] + count[:, 6]  # Chinese and Japanese say more with a character
+    japanese = (count[:, 5] * 8 > both) & (both > 0)
+    count[:, 5], count[:, 6] = np.where(japanese, 3 * both, 0), np.where(japanese, 0, 3 * both)
+    best = count[:, 1:].argmax(1)
+    by_script = count[np.arange(len(count)), best + 1] * 4 > sizes
+    by_words = ((functions[:, :, None] & _OF).sum(1) * _WEIGHT).argmax(1)
+    return [SCRIPTS[s] if yes else LATIN[w] for s, yes, w in zip(best.tolist(), by_script.tolist(), by_words.tolist(), strict=True)]
 
 
-def word_language(words: set[str]) -> str:
-    """The language of the Latin script by its function words."""
-    return max(FUNCTION_SETS, key=lambda k: (len(words & FUNCTION_SETS[k]) / (1 + 0.02 * len(FUNCTION_SETS[k])), k == "en"))
+def languages(own: Words) -> list[str]:
+    """The language of each text."""
+    return decided(own.scripts(), function_words(own), own.size)
 
 
 def language(text: str) -> str:
-    """The language whose rules a text gets: by its script, and in the Latin script by its function words."""
-    if len(text.encode()) * 4 >= len(text) * 5:  # else too few letters of another script for it to decide
-        found = script_language(script_counts(text), len(text))
-        if found:
-            return found
-    return word_language(set(text.lower().split()))
+    return languages(Words([text]))[0]
 
 
 class Cascade:
@@ -173,16 +184,27 @@ _CASCADES: dict[str, Cascade] = {}
 def cascade(lang: str) -> Cascade:
     if lang not in _CASCADES:
         own = TABLES.get(lang, [])
-        _CASCADES[lang] = Cascade(own if own is CASELESS else own + COMMON)
+        _CASCADES[lang] = Cascade(WHOLE.get(lang) or own + COMMON)
     return _CASCADES[lang]
 
 
 BLANK = re.compile("\\n[^\\S\\n]*\\n\\s*|[\\f\u2029]\\s*")
 BLANK_LINE = re.compile("\\n[^\\S\\n]*\\n\\s*")  # the same where there are no other breaks
-EVENTS = {"latin": re.compile(r"[.!?…]+[\"”»’')\]]*"), "el": re.compile(r"[.!?…;;]+[\"”»’')\]]*"), "caseless": re.compile(r"[.!?…।؟]+[\"”»’')\]]*"), "cjk": re.compile(r"[。！？!?．｡]+[」』”’）)\]]*|\.(?=\s|$)")}
+CLOSING = "[\"”»’')\\]]*"
+EVENTS = {
+    "latin": re.compile("[.!?…]+" + CLOSING),
+    "el": re.compile("[.!?…;;]+" + CLOSING),
+    "caseless": re.compile("[.!?…।؟]+" + CLOSING),
+    "cjk": re.compile(r"[。！？!?．｡]+[」』”’）)\]]*|\.(?=\s|$)"),
+    "th": re.compile(r"(?=[^\S\n])(?<!\s)"),
+}
+KIND = {"el": "el", "ar": "caseless", "hi": "caseless", "ja": "cjk", "zh": "cjk", "th": "th"}
+CAPITALISED = frozenset(f"{gap}{chr(65 + a)}{chr(97 + b)}" for gap in " \n" for a in range(26) for b in range(26))  # what begins a sentence in the plain case
+SHORTENED = frozenset(w.lower() for w in TITLES + INSIDE) | {"dot"} | {"".join(x) for n in (3, 4) for x in product("ivx", repeat=n)}
+FAR = 64
+NEXT = re.compile(rf"\s*\S{{0,{FAR}}}(?:\s+\S{{0,{FAR}}})?\s?")
 PROTECT = re.compile(r"[“„«\"「『（(\[{]")
 CLOSERS = {"“": "”", "„": "”“", "«": "»", '"': '"', "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}"}
-THAI_SPACE = re.compile(r"(?<=[฀-๿”’\"»)!?…])[^\S\n]+(?=[฀-๿“‘\"«(A-Z])")
 
 
 def _protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -209,18 +231,9 @@ def _protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 def _paragraph(text: str, start: int, end: int, lang: str) -> Iterator[tuple[int, int]]:
     """The sentences of a paragraph without white space around it."""
-    if lang == "th":
-        covered = _protected(text, start, end)
-        for m in THAI_SPACE.finditer(text, start, end):
-            if any(a < m.start() < b for a, b in covered):
-                continue
-            yield start, m.start()
-            start = m.end()
-        yield start, end
-        return
-    kind = "el" if lang == "el" else "caseless" if lang in ("ar", "hi") else "cjk" if lang in ("ja", "zh") else "latin"
     covered, k = _protected(text, start, end), 0
-    rules = cascade(lang) if kind != "cjk" else None
+    kind, rules = KIND.get(lang, "latin"), cascade(lang)
+    latin = kind == "latin"
     for m in EVENTS[kind].finditer(text, start, end):
         stop, at = m.start(), m.end()
         if at >= end or at <= start:
@@ -234,11 +247,7 @@ def _paragraph(text: str, start: int, end: int, lang: str) -> Iterator[tuple[int
             at = shut  # the stop is the last thing inside; what follows decides
             while at < end and text[at] in "\"”»’')]」』":
                 at += 1
-        if kind == "cjk":
-            after = text[at : at + 2]
-            if text[at - 1] in "」』”’）)" and after[:1] in "とっ，、,的" or after[:1] in "、，,；;）)":
-                continue
-        elif not _decide(text, start, stop, at, end, rules):
+        if not (latin and text[at : at + 3] in CAPITALISED and at == stop + 1 and _plain(text[max(start, stop - 12) : stop])) and not _decide(text, start, stop, at, end, rules):
             continue
         yield start, at
         start = at
@@ -248,23 +257,24 @@ def _paragraph(text: str, start: int, end: int, lang: str) -> Iterator[tuple[int
         yield start, end
 
 
+def _plain(before: str) -> bool:
+    """Whether the last word is one that no rule names, so that a capitalised word after a stop begins a sentence."""
+    word = before[before.rfind(" ") + 1 :]
+    return len(word) > 2 and word.isalpha() and word.isascii() and word.islower() and word not in SHORTENED
+
+
 def _decide(text: str, start: int, stop: int, at: int, end: int, rules: Cascade) -> bool:
-    word = stop
-    low = max(start, stop - 24)
-    while word > low and not text[word - 1].isspace():
-        word -= 1
-    narrow = wide = text[word:at]
+    low = max(start, stop - FAR)
+    words = text[low:stop].split()
+    narrow = wide = text[stop:at]
     label = False
-    if at - word <= 6:
-        before = word
-        while before > low and text[before - 1].isspace():
-            before -= 1
-        label = word == start
-        previous = before
-        while previous > low and not text[previous - 1].isspace():
-            previous -= 1
-        wide = f"{text[previous:before]} {narrow}" if previous < before else narrow
-    return rules.decide(wide, narrow, text[at : min(end, at + 14)], label)
+    if words and not text[stop - 1].isspace():
+        narrow = wide = words.pop() + narrow
+    if len(narrow) <= 6:
+        label = not words and low == start
+        if words:
+            wide = f"{words[-1]} {narrow}"
+    return rules.decide(wide, narrow, NEXT.match(text, at, end)[0], label)
 
 
 def spans(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
@@ -300,11 +310,13 @@ def sentence_rows(df: DataFrame, id_col: str, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, ends = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b in spans(text):
-                    ids.append(key)
-                    starts.append(a)
-                    ends.append(b)
+            keys = batch.column(0).to_pylist()
+            for first, texts in chunked(batch.column(1).to_pylist()):
+                for key, text, lang in zip(keys[first:], texts, languages(Words(texts)), strict=False):
+                    for a, b in spans(text, lang):
+                        ids.append(key)
+                        starts.append(a)
+                        ends.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["item_id", "start_at", "end_at"])
 
     return df.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, "item_id bigint, start_at int, end_at int")

@@ -25,15 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.quality import may_hold_codes, weigh
-from docquarry.llm.sentences import BLANK, FUNCTION_SETS, language, script_counts, script_language, spans, word_language
+from docquarry.llm.quality import Weighed
+from docquarry.llm.sentences import BLANK, decided, function_words, spans
+from docquarry.llm.words import Words, chunked
 
 LIMIT, OVERLAP = 1_500, 150
 RANGE = 8_000  # characters of a range; longer texts go by ranges
 FILE_RANGE = 1_000_000  # bytes of a range of a file
 HALO = 4_096  # characters read beyond a range
 BREAK_BYTES = [re.compile(x) for x in (rb"\n[ \t\r]*\n\s*", rb"(?:[.!?]|\xe3\x80\x82)[ \t\r]*\n\s*", rb"\n")]  # blank lines, lines that end as a sentence, lines
-ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_SETS.values())
 LINE = re.compile(r"[^\n]*\S[^\n]*")
 PIECES = "doc_id bigint, piece int, start_at int, end_at int"
 
@@ -43,12 +43,10 @@ def line_spans(text: str) -> list[tuple[int, int]]:
     return [(m.start() + len(m[0]) - len(m[0].lstrip()), m.end() - (len(m[0]) - len(m[0].rstrip()))) for m in LINE.finditer(text)]
 
 
-def units(text: str, common: frozenset[str]) -> list[tuple[int, int]]:
-    """The sentences of a text, or its lines where running sentences make up less than half of it."""
-    lang = language(text)
-    found = spans(text, lang)
-    _, run, solid = weigh(text, found, lang, common, may_hold_codes(text)) if found else ([], 0, 0)
-    return found if run * 2 >= solid else line_spans(text)
+def units(texts: list[str], common: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The sentences of each text, or its lines where running sentences make up less than half of it."""
+    made = Weighed(texts, common)
+    return [found if run * 2 >= solid else line_spans(t) for t, found, run, solid in zip(texts, made.spans, made.run.tolist(), made.solid.tolist(), strict=True)]
 
 
 def cut(size: int, found: list[tuple[int, int]], blank, limit: int = LIMIT, overlap: int = OVERLAP, whole=int) -> list[tuple[int, int]]:
@@ -102,12 +100,13 @@ def _whole(df: DataFrame, shared, limit: int, overlap: int, pieces: bool) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                found = units(text, shared.value)
-                if pieces:
-                    rows += [(key, i, a, b) for i, (a, b) in enumerate(cut(len(text), found, last_blank(text), limit, overlap))]
-                else:
-                    rows.append((key, long_start(found, limit)))
+            keys = pdf["doc_id"].tolist()
+            for start, texts in chunked(pdf["text"].tolist()):
+                for key, text, found in zip(keys[start:], texts, units(texts, shared.value), strict=False):
+                    if pieces:
+                        rows += [(key, i, a, b) for i, (a, b) in enumerate(cut(len(text), found, last_blank(text), limit, overlap))]
+                    else:
+                        rows.append((key, long_start(found, limit)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start_at", "end_at"] if pieces else ["doc_id", "long_at"])
 
     return df.mapInPandas(run, PIECES if pieces else "doc_id bigint, long_at int")
@@ -126,8 +125,8 @@ def _breaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 first += 1
             while first < last < len(chunk) and not chunk[last - 1].isspace() and not chunk[last].isspace():
                 last += 1
-            words = set(chunk[first:last].lower().split()) & ALL_FUNCTION_WORDS
-            rows.append((key, base, [a for a, _ in found], [b for _, b in found], [len(own.encode()), *script_counts(own).values()], sorted(words)))
+            scripts, functions = Words([own]).scripts()[0], function_words(Words([chunk[first:last]]))[0]
+            rows.append((key, base, [a for a, _ in found], [b for _, b in found], scripts.tolist(), functions.tolist()))
         yield pd.DataFrame(rows, columns=["doc_id", "base", "starts", "ends", "scripts", "words"])
 
 
@@ -146,9 +145,8 @@ def _stitch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if b - cuts[-1] > limit and a > cuts[-1]:
             cuts.append(a)
     cuts.append(size)
-    coded, *scripts = (sum(int(r[i]) for r in pdf["scripts"]) for i in range(7))
-    lang = script_language(dict(zip(script_counts(""), scripts, strict=True)), size) if coded * 4 >= size * 5 else None
-    lang = lang or word_language({w for r in pdf["words"] for w in r})
+    scripts, functions = np.sum(pdf["scripts"].tolist(), axis=0), np.any(pdf["words"].tolist(), axis=0)
+    lang = decided(scripts[None], functions[None], np.array([size]))[0]
     return pd.DataFrame({"doc_id": key[0], "unit": range(len(cuts) - 1), "at": cuts[:-1], "upto": cuts[1:], "lang": lang})
 
 
@@ -157,7 +155,7 @@ def _ranged(df: DataFrame, shared, limit: int, overlap: int, range_chars: int, h
     bases = F.sequence(F.lit(0), F.col("total") - 1, F.lit(range_chars))
     chunk = F.transform(bases, lambda b: F.struct(b.alias("base"), F.least(F.lit(range_chars), F.col("total") - b).alias("size"), F.substring(F.col("text"), F.greatest(b, F.lit(1)), F.lit(range_chars + halo + 1)).alias("chunk")))
     ranges = sized.select("doc_id", F.explode(chunk).alias("c")).select("doc_id", "c.*")
-    tables = ranges.mapInPandas(_breaks, "doc_id bigint, base int, starts array<int>, ends array<int>, scripts array<int>, words array<string>")
+    tables = ranges.mapInPandas(_breaks, "doc_id bigint, base int, starts array<int>, ends array<int>, scripts array<int>, words array<boolean>")
     tables = tables.join(sized.select("doc_id", "total"), "doc_id").withColumn("range", F.lit(range_chars))
     parts = tables.groupBy("doc_id").applyInPandas(_stitch, "doc_id bigint, unit int, at int, upto int, lang string")
     texts = parts.join(sized.select("doc_id", "text"), "doc_id").select("doc_id", "at", "lang", F.expr("substring(text, at + 1, upto - at)").alias("part"))
@@ -166,8 +164,8 @@ def _ranged(df: DataFrame, shared, limit: int, overlap: int, range_chars: int, h
         for pdf in batches:
             rows = []
             for key, at, lang, part in zip(pdf["doc_id"], pdf["at"], pdf["lang"], pdf["part"], strict=True):
-                found, lines = spans(part, lang), line_spans(part)
-                _, run, solid = weigh(part, found, lang, shared.value, may_hold_codes(part)) if found else ([], 0, 0)
+                made = Weighed([part], shared.value, [lang])
+                found, lines, run, solid = made.spans[0], line_spans(part), int(made.run[0]), int(made.solid[0])
                 gaps = [(m.start() + at, m.end() + at) for m in re.finditer(r"\s+", part)]
                 rows.append((key, at, at + len(part), [a + at for a, _ in found], [b + at for _, b in found], [a + at for a, _ in lines], [b + at for _, b in lines], [a for a, _ in gaps], [b for _, b in gaps], run, solid))
             yield pd.DataFrame(rows, columns=["doc_id", "at", "upto", "starts", "ends", "line_starts", "line_ends", "gaps", "gap_ends", "run", "solid"])
@@ -193,7 +191,7 @@ def _ranged(df: DataFrame, shared, limit: int, overlap: int, range_chars: int, h
     return offsets.groupBy("doc_id").applyInPandas(emit, PIECES if pieces else "doc_id bigint, long_at int")
 
 
-def _oversized(df: DataFrame, common: frozenset[str], id_col: str, text_col: str, limit: int, overlap: int, range_chars: int, halo: int, pieces: bool) -> DataFrame:
+def _oversized(df: DataFrame, common: np.ndarray, id_col: str, text_col: str, limit: int, overlap: int, range_chars: int, halo: int, pieces: bool) -> DataFrame:
     own = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") > limit))
     shared = df.sparkSession.sparkContext.broadcast(common)
     small = _whole(own.filter(F.length("text") <= range_chars), shared, limit, overlap, pieces).distinct()
@@ -203,12 +201,12 @@ def _oversized(df: DataFrame, common: frozenset[str], id_col: str, text_col: str
     return small.unionByName(named.distinct())
 
 
-def split(df: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, halo: int = HALO) -> DataFrame:
+def split(df: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE, halo: int = HALO) -> DataFrame:
     """``doc_id``, ``piece``, ``start_at`` and ``end_at`` of every piece of the texts over the limit."""
     return _oversized(df, common, id_col, text_col, limit, overlap, range_chars, halo, True)
 
 
-def long_sentences(df: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, range_chars: int = RANGE, halo: int = HALO) -> DataFrame:
+def long_sentences(df: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, range_chars: int = RANGE, halo: int = HALO) -> DataFrame:
     """``doc_id`` and ``long_at``, where the first sentence over the limit begins, of every text over the limit."""
     return _oversized(df, common, id_col, text_col, limit, OVERLAP, range_chars, halo, False)
 

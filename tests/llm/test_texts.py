@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from docquarry.llm import quality, readability, splitting
 from docquarry.llm.sentences import language, sentence_rows, spans
+from docquarry.llm.words import Words, hashed, member
 
 
 def said(text):
@@ -76,7 +77,7 @@ JUNK = "Zaq wivo xex pulo kez. Mivo zaz qop wex lulo. Vex poq zul waz kivo."
 def test_verdicts(spark):
     rows = [(1, PROSE), (2, LIST), (3, TABLE), (4, JUNK), (5, None), (6, ""), (7, " \n"), (8, PROSE + "\n\n" + "\n".join(f"- the log {i}" for i in range(3))), (1, PROSE)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    common = frozenset("the board met on monday and read log it was found to be late will meet again in spring".split())
+    common = hashed("the board met on monday and read log it was found to be late will meet again in spring".split())
     out = {r.doc_id: r for r in quality.quality(df, common=common).collect()}
     assert [out[k].verdict for k in range(1, 9)] == ["prose", "list", "table", "junk", "empty", "empty", "empty", "prose"]
     assert out[1].words == 23 and out[2].duplicate_line_share == 0 and out[2].bullet_line_share == 1.0
@@ -87,17 +88,43 @@ def test_verdicts(spark):
 def test_repeated_rows_make_no_word_common(spark):
     rows = [(k, PROSE) for k in range(1, 4)] + [(9, JUNK)] * 3
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert "board" in quality.common_words(df) and "wivo" not in quality.common_words(df)
-    assert "board" in readability.familiar_words(df) and "wivo" not in readability.familiar_words(df)
+    words = hashed(["board", "wivo"])
+    board = hashed(["board"])
+    for found in (quality.common_words(df), readability.familiar_words(df)):
+        assert words[member(words, found)].tolist() == board.tolist()
     assert {r.verdict for r in quality.quality(df).filter("doc_id = 9").collect()} == {"junk"}
 
 
+def test_repetition_decides(spark):
+    page = "The board met on Monday and read the log again."
+    df = spark.createDataFrame([(1, "\n\n".join([page] * 9)), (2, "\n\n".join([page, PROSE, "It was read again."]))], "doc_id bigint, text string")
+    common = hashed("the board met on monday and read log it was found to be late will meet again in spring".split())
+    assert {r.doc_id: r.verdict for r in quality.quality(df, common=common).collect()} == {1: "junk", 2: "prose"}
+
+
+def test_words():
+    texts = ["The Board’s log, d'Été 2.5 l'eau", "", "'tis ΟΔΟΣ x²", "été"]
+    own = Words(texts)
+    said = ["".join(chr(c) for c in own.point[a:b]) for a, b in zip(own.start, own.end)]
+    assert said == ["The", "Board’s", "log", "d'Été", "l'eau", "tis", "ΟΔΟΣ", "x²", "été"] and own.doc.tolist() == [0] * 5 + [2] * 3 + [3]
+    assert own.letters.tolist() == [len(w) for w in said] and (own.hash & 255).tolist() == own.letters.tolist()
+    again = Words(["board's LOG the"])
+    assert again.hash.tolist() == [own.hash[k] for k in (1, 2, 0)] and own.longest().tolist() == [7, 0, 4, 3]
+
+
+def test_common_words_have_no_cap(spark):
+    """60,000 words in as large a share of the texts as is asked for: all are common."""
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(60_000)]
+    df = spark.createDataFrame([(k, " ".join(words)) for k in range(3)] + [(3, "only once"), (4, None)], "doc_id bigint, text string")
+    assert quality.common_words(df).tolist() == hashed(words).tolist()
+
+
 def test_ngrams():
-    got = quality.top_ngrams(["a b a b c a b".split(), ["x"], [], "in the end in the end in the end".split()]).tolist()
+    got = quality.top_ngrams(Words(["a b a b c a b", "x", "", "in the end in the end in the end"])).tolist()
     assert got == [[6, 0, 0], [0, 0, 0], [0, 0, 0], [18, 24, 22]]
 
 
-COMMON = frozenset("the board met again and read log was in a room at noon of it".split())
+COMMON = hashed("the board met again and read log was in a room at noon of it".split())
 
 
 def long_text(n=60):
@@ -170,7 +197,7 @@ HARD = (
 
 
 def test_levels(spark):
-    familiar = frozenset("the dog ran can you see cat we will go to park with man had a hat by and of".split())
+    familiar = hashed("the dog ran can you see cat we will go to park with man had a hat by and of".split())
     rows = [(1, EASY), (2, HARD), (3, EASY + HARD), (4, EASY.replace(". ", ", and ").replace("? ", ", and ") + "."), (5, None), (6, ""), (7, "Short."), (8, EASY.replace("The", "Die").replace("the", "der und nicht"))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     out = {r.doc_id: r for r in readability.reading_levels(df, familiar=familiar).collect()}
