@@ -129,8 +129,8 @@ def garbage(c: Column, numbered: bool = False) -> Column:
     return out if numbered else out.when(digits / n > 0.15, "too_many_numbers")
 
 
-def action_verb(text: Column) -> Column:
-    """The main verb of a recommendation: after should, must or recommends that, else the longest action verb in it."""
+def action_verb(text: Column, after_should_only: bool = False) -> Column:
+    """The main verb of a recommendation: after should, must or recommends that (or should alone), else the longest action verb in it."""
     low = F.lower(text)
     after = lambda p: F.when(F.regexp_extract(low, p, 1).isin(L.ACTION_VERBS), F.regexp_extract(low, p, 1))
     ordered = sorted(L.ACTION_VERBS, key=lambda v: (-len(v), v))
@@ -138,7 +138,8 @@ def action_verb(text: Column) -> Column:
     longest = F.element_at(F.array_sort(present, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
     return F.when(F.coalesce(text, F.lit("")) == "", "unknown").otherwise(
         F.coalesce(
-            after(r"\bshould\s+(?:also\s+)?(?:urgently\s+)?(?:be\s+)?(\w+)"), after(r"\bmust\s+(?:also\s+)?(?:be\s+)?(\w+)"), after(r"\brecommends?\s+that\s+[\w\s]+\s+(\w+)"),
+            after(r"\bshould\s+(?:also\s+)?(?:urgently\s+)?(?:be\s+)?(\w+)"),
+            *([] if after_should_only else [after(r"\bmust\s+(?:also\s+)?(?:be\s+)?(\w+)"), after(r"\brecommends?\s+that\s+[\w\s]+\s+(\w+)")]),
             F.when(F.size(present) > 0, longest), F.lit("unknown"),
         )
     )
@@ -247,3 +248,35 @@ def scattered_recommendation(sentence: Column) -> Column:
 def scattered_response(sentence: Column) -> Column:
     return any_contains(F.lower(sentence), L.REPLY_PHRASES[1:6])
 
+
+def opening_method(text: Column) -> Column:
+    """The name of the way that a recommendation's wording was detected by."""
+    low, out = F.lower(text), F.lit("semantic_match")
+    for pattern, shown, name in reversed(L.OPENING_METHODS):
+        taken = F.regexp_extract(low, shown, 0) if shown else F.lit("")
+        out = F.when(low.rlike(pattern), F.concat(F.lit(name), F.upper(taken))).otherwise(out)
+    return out
+
+
+def section_boundary(sentence: Column) -> Column:
+    """Whether a sentence is a numbered heading, or a short one in title case that opens a section without recommendations."""
+    line = strip(sentence)
+    words = tokens(line)
+    titled = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}"))) >= F.size(words) * 0.8
+    return line.rlike(r"^\d+\.[\d.]*\s+[A-Z]") | ((F.size(words) <= 6) & titled & any_contains(F.lower(line), L.BOUNDARY_WORDS) & (line != ""))
+
+
+# The cuts of scores that reports use, best label first.
+BANDS = {
+    "relevance": ([(0.7, "high"), (0.5, "medium")], "low"),
+    "confidence": ([(0.95, "high"), (0.85, "medium")], "low"),
+    "match": ([(0.7, "high"), (0.4, "medium")], "low"),
+    "alignment": ([(0.7, "high"), (0.5, "medium")], "low"),
+    "similar": ([(0.8, "very high"), (0.6, "high"), (0.4, "medium")], "low"),
+}
+
+
+def named_band(score: Column, name: str) -> Column:
+    """The label of a score by the cuts of that name."""
+    cuts, rest = BANDS[name]
+    return band(score, *cuts, rest=rest)

@@ -69,3 +69,14 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         matcher.set_seq1(x)
         out.append(matcher.ratio())
     return pd.Series(out, dtype="float64")
+
+
+def encoder(model, batch: int = 16):
+    """A function of a text column that gives the vectors of ``model``, which takes a list of texts; null texts as empty, some at a time."""
+
+    @F.pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        own = texts.fillna("").tolist()
+        return pd.Series([[float(x) for x in v] for k in range(0, len(own), batch) for v in model(own[k : k + batch])])
+
+    return encode

@@ -176,6 +176,7 @@ def fix_encoding(c: Column) -> Column:
 
 def clean_strict(c: Column) -> Column:
     """A recommendation's text without addresses, times, page references, stray numbers and site footers, on one line."""
+    # What is taken out and what stands for it, in this order.
     steps = [
         (r"https?://[^\s<>\"']+", ""), (r"www\.[^\s<>\"']+", ""), (r"[a-zA-Z0-9.-]+\.gov\.uk[^\s]*", ""), (r"[a-zA-Z0-9.-]+\.org\.uk[^\s]*", ""), (r"[a-zA-Z0-9.-]+\.nhs\.uk[^\s]*", ""),
         (r"(?i)\d{1,2}/\d{1,2}/\d{2,4},?\s*\d{1,2}:\d{2}\s*(?:AM|PM)?[^A-Z]*(?=[A-Z]|$)", " "), (r"\b(\d{1,2})/(\d{1,3})\b", ""), (r"(?i)\bPage\s+\d+\s+(?:of\s+\d+)?", ""),
@@ -189,6 +190,16 @@ def clean_strict(c: Column) -> Column:
     return squeeze(c)
 
 
+def clean_brief(c: Column) -> Column:
+    """As ``clean_strict`` with fewer steps: addresses, times, short page references and footnote marks go; null as empty."""
+    # What is taken out, in this order.
+    steps = [r"https?://\S+", r"www\.\S+", r"(?i)\d{1,2}/\d{1,2}/\d{2,4},?\s*\d{1,2}:\d{2}\s*(?:AM|PM)?", r"\b(\d{1,2})/(\d{1,3})\b(?!\d)", r"\[\d+\]"]
+    c = fix_encoding(F.coalesce(c, F.lit("")))
+    for pattern in steps:
+        c = F.regexp_replace(c, pattern, "")
+    return squeeze(c)
+
+
 def clean_html(c: Column) -> Column:
     """Without tags, the five common entities resolved in order, squeezed; a text left empty says so."""
     c = F.regexp_replace(c, r"<[^>]+>", "")
@@ -204,26 +215,40 @@ def norm_line(c: Column) -> Column:
     return F.regexp_replace(c, r"\d{1,2}/\d{1,2}/\d{2,4},?\s+\d{1,2}:\d{2}(?::\d{2})?\s*(?:AM|PM)?", "DATE_TIME")
 
 
+def prefix_sums(numbers: Column, block: int = 128) -> Column:
+    """For each number of an array the sum of those before it.
+
+    Sums are made in blocks whose arrays are joined at the end, so that no step copies all that was made before it.
+    """
+    none = F.array().cast("array<int>")
+    fold = lambda xs, start: F.aggregate(xs, F.struct(start.cast("int").alias("sum"), none.alias("out")), lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")), lambda acc: acc["out"])
+
+    def made(xs: Column) -> Column:
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1, F.lit(block))).otherwise(none)
+        blocks = F.transform(starts, lambda k: F.slice(xs, k + 1, F.lit(block)))
+        totals = F.transform(blocks, lambda own: F.aggregate(own, F.lit(0), lambda acc, x: acc + x))
+        return F.flatten(F.zip_with(blocks, fold(totals, F.lit(0)), fold))
+
+    return let(numbers, made)
+
+
 def finditer(text: Column, pattern: str, groups: int = 0) -> Column:
     """All matches in order: an array of structs of ``at``, ``upto`` and ``match``, and ``g1``, ``g2`` ... for the groups.
 
     The parts between the matches and the matches' own lengths add up to the offsets. The pattern must not match
     nothing and has at most ``groups`` groups.
     """
+    names = [f"g{k + 1}" for k in range(groups)]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    captured = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k + 1)) for k in range(groups)]
-    rows = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(F.get(parts, i)).alias("gap"), *(F.get(g, i).alias(f"g{k + 1}") for k, g in enumerate(captured))))
-    kind = "array<struct<at:int,upto:int,match:string" + "".join(f",g{k + 1}:string" for k in range(groups)) + ">>"
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["end"] + x["gap"]
-        upto = at + F.length(x["m"])
-        row = F.struct(at.alias("at"), upto.alias("upto"), x["m"].alias("match"), *(x[f"g{k + 1}"].alias(f"g{k + 1}") for k in range(groups)))
-        return F.struct(upto.alias("end"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    captured = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k + 1)).alias(n) for k, n in enumerate(names)]
+    rows = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("gap"), *captured), lambda x: x["m"].isNotNull())
+
+    def placed(own: Column) -> Column:
+        before = prefix_sums(F.transform(own, lambda x: x["gap"] + F.length(x["m"])))
+        return F.zip_with(own, before, lambda x, b: F.struct((b + x["gap"]).alias("at"), (b + x["gap"] + F.length(x["m"])).alias("upto"), x["m"].alias("match"), *(x[n].alias(n) for n in names)))
+
+    return let(rows, placed)
 
 
 def first_match(text: Column, pattern: str) -> Column:

@@ -42,18 +42,25 @@ def by_keywords(recs: DataFrame, resps: DataFrame, least: float = 0.25) -> DataF
 
 
 def _met(left: DataFrame, right: DataFrame, bound: float) -> DataFrame:
-    """Pairs that share a word and whose sizes allow the similarity."""
-    sizes = (F.col("n_rec_key") >= F.col("n_resp_key") * bound) & (F.col("n_resp_key") >= F.col("n_rec_key") * bound)
-    return left.join(right, "word").filter(sizes).select("rec_key", "resp_key").distinct()
+    """Pairs whose sizes and whose shared words allow a similarity of ``bound``.
+
+    Of the words that are joined, the rarest of each side, a pair shares some; all others that it can share are among the
+    rest of one side. Both together have to reach the bound.
+    """
+    n, m = F.col("n_rec_key"), F.col("n_resp_key")
+    sizes = (n >= m * bound) & (m >= n * bound)
+    shared = left.join(right, "word").filter(sizes).groupBy("rec_key", "resp_key", "n_rec_key", "n_resp_key").agg(F.count(F.lit(1)).alias("shared"))
+    rest = lambda size: F.ceil(size * bound) - 1
+    return shared.filter(F.col("shared") + F.greatest(rest(n), rest(m)) >= bound / (1 + bound) * (n + m) - 1e-9).select("rec_key", "resp_key")
 
 
-def top_three(recs: DataFrame, resps: DataFrame, least: float = 0.3, most: int = 3, across: bool = True) -> DataFrame:
-    """Each recommendation with its ``most`` best responses: ``rec_key``, ``rank``, ``resp_key``, ``combined_score``, ``similarity_score``, ``same_document``.
+def top_three(recs: DataFrame, resps: DataFrame, least: float = 0.3, most: int = 3) -> DataFrame:
+    """Each recommendation with its ``most`` best responses of all documents: ``rec_key``, ``rank``, ``resp_key``, ``combined_score``, ``similarity_score``, ``same_document``.
 
     Meaningful words in their own case are compared; responses of the same document count 1.2 times, later ones there 1.1
-    times more. Only pairs that share a word can qualify, so candidates meet by their rarest words: a pair of sets with a
-    similarity of t shares one of the first n - ceil(t n) + 1 words of each in the order of rarity. Without ``across`` only
-    responses of the same document are candidates, which the document joins.
+    times more. That weighted similarity decides, and the order goes by it with 1 as the most (``combined_score``), of equal
+    ones the smaller key first. Only pairs that share a word can qualify, so candidates meet by their rarest words: a pair of
+    sets with a similarity of t shares one of the first n - ceil(t n) + 1 words of each in the order of rarity.
     """
     bound = least / 1.32
     left = recs.select("doc_id", "rec_key", "position", F.array_distinct(meaningful_cased(F.col("text"))).alias("a")).filter(F.size("a") > 0)
@@ -65,17 +72,15 @@ def top_three(recs: DataFrame, resps: DataFrame, least: float = 0.3, most: int =
         w = Window.partitionBy(key).orderBy("often", "word")
         return each.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * bound) + 1).select(key, F.col("n").alias(f"n_{key}"), "word")
 
-    if across:
-        met = _met(rarest(left, "rec_key", "a"), rarest(right, "resp_key", "b"), bound)
-    else:
-        met = left.join(right, F.col("doc_id") == F.col("resp_doc")).select("rec_key", "resp_key")
-    pairs = met.join(left, "rec_key").join(right, "resp_key").withColumn("similarity_score", jaccard(F.col("a"), F.col("b")))
+    met = _met(rarest(left, "rec_key", "a"), rarest(right, "resp_key", "b"), bound)
+    pairs = met.join(left, "rec_key").join(right, "resp_key").withColumn("plain", jaccard(F.col("a"), F.col("b")))
     same = F.col("doc_id") == F.col("resp_doc")
-    weight = F.when(same, 1.2).otherwise(1.0) * F.when(same & (F.col("resp_position") > F.col("position")), 1.1).otherwise(1.0)
-    pairs = pairs.withColumn("same_document", F.coalesce(same, F.lit(False))).withColumn("combined", F.col("similarity_score") * weight).filter(F.col("combined") >= least)
-    w = Window.partitionBy("rec_key").orderBy(F.desc(F.round("combined", 12)), "resp_key")
+    weighted = F.col("plain") * F.when(same, 1.2).otherwise(1.0) * F.when(same & (F.col("resp_position") > F.col("position")), 1.1).otherwise(1.0)
+    pairs = pairs.withColumn("same_document", F.coalesce(same, F.lit(False))).withColumn("similarity_score", weighted).filter(F.col("similarity_score") >= least)
+    pairs = pairs.withColumn("combined_score", F.least("similarity_score", F.lit(1.0)))
+    w = Window.partitionBy("rec_key").orderBy(F.desc(F.round("combined_score", 12)), "resp_key")
     ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    return ranked.select("rec_key", "rank", "resp_key", F.least("combined", F.lit(1.0)).alias("combined_score"), "similarity_score", "same_document")
+    return ranked.select("rec_key", "rank", "resp_key", "combined_score", "similarity_score", "same_document")
 
 
 def nested(ranked: DataFrame, recs: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def by_label(recs: DataFrame, resps: DataFrame) -> DataFrame:
 def one_to_one(recs: DataFrame, resps: DataFrame) -> DataFrame:
     """As ``by_label``, no response used twice in a document, recommendations choosing in the order of their keys."""
     left = recs.select("doc_id", F.struct("rec_key", "rec_id", F.col("rec_number").try_cast("int").alias("number"), F.array_distinct(words(F.col("text"))).alias("w")).alias("r"))
-    right = resps.select("doc_id", F.struct("resp_key", "rec_id", F.col("rec_number").try_cast("int").alias("number"), F.array_distinct(words(F.col("text"))).alias("w")).alias("r"))
+    right = resps.filter(F.col("doc_id").isNotNull()).select("doc_id", F.struct("resp_key", "rec_id", F.col("rec_number").try_cast("int").alias("number"), F.array_distinct(words(F.col("text"))).alias("w")).alias("r"))
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         free = {r["resp_key"]: (r["rec_id"], r["number"], frozenset(r["w"])) for r in sorted(b["r"], key=lambda r: r["resp_key"])}
@@ -131,7 +136,7 @@ def by_tiers(recs: DataFrame, resps: DataFrame) -> DataFrame:
     """
     left = _left(recs).join(recs.select("rec_key", "org", F.col("embedding").alias("va")), "rec_key")
     right = _right(resps).join(resps.select("resp_key", F.col("org").alias("resp_org"), F.col("embedding").alias("vb")), "resp_key")
-    pairs = left.join(right, "doc_id").withColumn("sem", cosine(F.col("va"), F.col("vb"))).filter(~self_match(F.col("rec_text"), F.col("resp_text")))
+    pairs = left.join(right, "doc_id").withColumn("sem", F.round(cosine(F.col("va"), F.col("vb")), 12)).filter(~self_match(F.col("rec_text"), F.col("resp_text")))
     near = Window.partitionBy("rec_key").orderBy(F.desc("sem"), F.desc("resp_key"))
     pairs = pairs.withColumn("r", F.row_number().over(near))
     by_id = (F.col("rec_norm") == F.col("resp_norm")) & (F.col("sem") >= 0.3)
@@ -141,7 +146,7 @@ def by_tiers(recs: DataFrame, resps: DataFrame) -> DataFrame:
     plain = F.col("sem") * F.when(has_reply_language(F.col("resp_text")), 1.0).otherwise(0.7)
     score = F.when(F.col("tier") == 1, F.least(F.col("sem") + 0.5, F.lit(1.0))).when(F.col("tier") == 2, F.least(F.col("sem") + 0.15, F.lit(0.95))).otherwise(plain)
     found = pairs.withColumn("tier", tier).filter("tier is not null").withColumn("similarity", score)
-    best = _best(found, [F.asc("tier"), F.desc("similarity"), F.asc("resp_key")])
+    best = _best(found, [F.asc("tier"), F.desc(F.round("similarity", 10)), F.asc("resp_key")])
     method = F.element_at(F.array(F.lit("id_match"), F.lit("org_match"), F.lit("semantic")), F.col("tier"))
     return recs.select("rec_key").join(best.select("rec_key", "resp_key", "similarity", method.alias("match_method")), "rec_key", "left")
 
@@ -153,3 +158,9 @@ def sort_order(mode: str) -> list[Column]:
     status = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv)), F.col("status")), F.lit(5))
     modes = {"original": [F.col("rec_key")], "accepted_first": [status, F.col("rec_key")], "none_first": [F.col("has_response"), F.col("rec_key")], "confidence": [F.desc(F.coalesce("similarity", F.lit(0.0))), F.col("rec_key")]}
     return modes[mode]
+
+
+def best_matches(recs: DataFrame, resps: DataFrame, least: float = 0.25) -> DataFrame:
+    """Each recommendation with its best response: by identifiers, organisations and vectors where both sides have an ``embedding`` and an ``org``, else by keywords."""
+    vectors = all({"embedding", "org"} <= set(df.columns) for df in (recs, resps))
+    return by_tiers(recs, resps) if vectors else by_keywords(recs, resps, least)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import lexicon as L
-from docquarry.functions.classify import action_verb, garbage, is_meta, recommendation_likeness, recommendation_rule, scattered_recommendation
+from docquarry.functions.classify import action_verb, garbage, is_meta, opening_method, recommendation_likeness, recommendation_rule, scattered_recommendation, section_boundary
 from docquarry.functions.similarity import jaccard
-from docquarry.functions.text import clean_strict, finditer, first_match, part, squeeze, strip, tokens
+from docquarry.functions.text import clean_brief, clean_strict, finditer, first_match, let, part, prefix_sums, squeeze, strip, tokens
 from docquarry.operators.segment import full_sentences
-from docquarry.session import staged
+from docquarry.session import cut, staged
 
 LONGEST, SHORTEST = 2_500, 50  # characters of a numbered recommendation
 PHASES = [
@@ -169,11 +169,109 @@ def likely_sentences(docs: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def distinct_alike(rows: DataFrame, least: float = 0.85) -> DataFrame:
-    """Rows of each document but those whose words are like an earlier row's beyond ``least``."""
+    """Rows of each document but those whose words are like an earlier row's beyond ``least``.
+
+    Two rows so alike share one of the first n - ceil(least n) + 1 words of each in the order of rarity, by which they meet;
+    a document's rows are not all paired.
+    """
     words = rows.withColumn("w", F.array_distinct(tokens(F.lower("text"))))
-    a, b = words.alias("a"), words.select("doc_id", F.col("position").alias("earlier"), F.col("w").alias("v")).alias("b")
-    near = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.earlier") < F.col("a.position")) & (jaccard(F.col("a.w"), F.col("b.v")) > least)
-    return a.join(b, near, "left_anti").drop("w")
+    keyed = words.filter(F.size("w") > 0).select("doc_id", "position", "w", F.size("w").alias("n"))
+    each = keyed.select("doc_id", "position", "n", F.explode("w").alias("word"))
+    often = each.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("doc_id", "position").orderBy("often", "word")
+    rare = each.join(often, "word").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    left = rare.select("doc_id", "word", "position", "n")
+    right = rare.select("doc_id", "word", F.col("position").alias("earlier"), F.col("n").alias("m"))
+    met = left.join(right, ["doc_id", "word"]).filter((F.col("earlier") < F.col("position")) & (F.col("m") >= F.col("n") * least) & (F.col("n") >= F.col("m") * least))
+    met = met.select("doc_id", "position", "earlier").distinct().join(keyed.select("doc_id", "position", "w"), ["doc_id", "position"])
+    met = met.join(keyed.select("doc_id", F.col("position").alias("earlier"), F.col("w").alias("v")), ["doc_id", "earlier"])
+    again = met.filter(jaccard(F.col("w"), F.col("v")) > least).select("doc_id", "position").distinct()
+    return rows.join(again, ["doc_id", "position"], "left_anti")
+
+
+def wording_start(text: Column) -> Column:
+    """Where a recommendation's own wording begins: at "That" with an organisation, at an organisation that should act, else after its header."""
+    header = F.length(F.regexp_extract(text, L.WORDING_HEADER, 0))
+    return F.coalesce(*(first_match(text, p) for p in L.WORDING_STARTS), header, F.lit(0))
+
+
+def wording_end(text: Column, start: Column) -> Column:
+    """Where it ends: before the first sentence that is a heading or, past the first one, does not recommend; else with the text."""
+    said = F.transform(F.split(part(text, start, F.length(text)), r"(?<=[.!?])\s+", -1), strip)
+
+    def stop(own: Column) -> Column:
+        before = prefix_sums(F.transform(own, lambda s: F.length(s) + 1))
+        judged = F.zip_with(own, before, lambda s, at: F.struct(s.alias("s"), at.alias("at"), recommendation_likeness(s).alias("e")))
+        ends = F.filter(judged, lambda x, i: (x["s"] != "") & (section_boundary(x["s"]) | ((i > 0) & ~x["e"]["is_recommendation"] & (x["e"]["confidence"] < 0.4))))
+        return F.when(F.size(own) > 1, F.get(ends, F.lit(0))["at"])
+
+    return F.coalesce(start + let(said, stop), F.length(text))
+
+
+def with_wording(rows: DataFrame, longest: int = 1_500) -> DataFrame:
+    """``rows`` of ``block`` and ``rec_number`` with ``body``: a recommendation's wording within the block under its heading.
+
+    It has at most ``longest`` characters, and its header is put back where it was cut off; costly columns are made in steps
+    of their own.
+    """
+    rows = staged(rows, text=clean_brief(F.col("block")))
+    rows = staged(rows, a=wording_start(F.col("text")))
+    rows = staged(rows, b=wording_end(F.col("text"), F.col("a")))
+    head = F.substring("text", F.col("a") + 1, F.lit(longest))
+    stop = F.length(head) - F.locate(".", F.reverse(head))
+    late = (F.locate(".", head) > 0) & (stop > longest * 0.5)
+    end = F.when(F.col("b") - F.col("a") <= longest, F.col("b")).when(late, F.col("a") + stop + 1).otherwise(F.col("a") + longest)
+    rows = staged(rows, body=strip(part(F.col("text"), F.col("a"), end)))
+    header = F.when(F.col("rec_number").startswith("R/"), "Safety recommendation ").when(F.col("rec_number").contains("/"), "Recommendation ")
+    headless = ~F.lower("body").rlike("^(?:recommendation|safety recommendation|that )") & header.isNotNull()
+    return staged(rows, body=F.when(headless, F.concat(header, "rec_number", F.lit(": "), "body")).otherwise(F.col("body"))).drop("block", "text", "a", "b")
+
+
+def extract_by_likeness(docs: DataFrame, least: float = 0.75) -> DataFrame:
+    """Recommendations judged by the keyword estimate: under the first kind of heading that gives any in a document, else among its sentences.
+
+    The columns are those of ``numbered``; of alike texts of a document the first stays.
+    """
+    # The kinds of headings, in this order.
+    phases = [*PHASES[:2], r"(?i)(?:Recommendations?\s+)?Recommendation\s+(\d{1,2})(?:\s+(\d))?\b"]
+    cleaned = staged(docs.filter(strip(F.col("text")) != "").select("doc_id", F.col("text").alias("raw")), text=clean_brief(F.col("raw")))
+    out = None
+    for k, pattern in enumerate(phases):
+        heads = cleaned.filter(F.col("text").rlike(pattern)).select("doc_id", "text", finditer(F.col("text"), pattern, 2 if k == 2 else 1).alias("h"))
+        rows = heads.select("doc_id", "text", F.posexplode("h").alias("position", "m"), F.col("h").alias("all"))
+        following = F.coalesce(F.get("all", F.col("position") + 1)["at"], F.length("text"))
+        number = F.col("m.g1") if k < 2 else F.when((F.col("m.g2") != "") & (F.length("m.g1") == 1), F.concat("m.g1", "m.g2")).otherwise(F.col("m.g1"))
+        rows = rows.select("doc_id", "position", number.alias("rec_number"), part(F.col("text"), F.col("m.at"), following).alias("block"))
+        rows = with_wording(rows).withColumn("phase", F.lit(k)).withColumn("in_section", F.lit(True))
+        out = rows if out is None else out.unionByName(rows)
+    said = full_sentences(docs.filter(strip(F.col("text")) != ""))
+    plain = staged(said, body=clean_brief(F.col("sentence"))).select("doc_id", F.col("ordinal").alias("position"), F.lit(None).cast("string").alias("rec_number"), "body", F.lit(3).alias("phase"), F.lit(False).alias("in_section"))
+    rows = out.unionByName(plain.filter(F.length("body") <= 500))
+    special = F.length(F.regexp_replace("body", r"[\p{L}\p{N}\s.,;:!?'\"()\[\]-]", ""))
+    rows = rows.filter((F.length("body") >= SHORTEST) & (special / F.length("body") <= 0.12))
+    rows = staged(rows, e=recommendation_likeness(F.col("body"))).filter("e.is_recommendation").withColumn("method", opening_method(F.col("body")))
+    sure = F.when(F.col("method").rlike("hsib|numbered"), 0.95).when(F.col("method").isin("entity_should", "we_recommend", "that_entity"), 0.9).otherwise(0.0)
+    rows = rows.withColumn("confidence", F.round(F.greatest(F.col("e.confidence"), sure), 3)).filter(F.col("confidence") >= least)
+    first = F.min("phase").over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("first", first).filter("phase = first").select("doc_id", "phase", F.col("body").alias("text"), "method", "confidence", "position", "in_section", "rec_number")
+    rows = rows.withColumn("verb", action_verb(F.col("text"), after_should_only=True))
+    return distinct_alike(cut(rows))  # which reads the rows several times
+
+
+def inspected(docs: DataFrame, least: float = 0.75) -> DataFrame:
+    """``doc_id``, ``phase``, ``position``, ``heading`` and ``verdict`` of every heading: kept, or why its text is no recommendation."""
+    cleaned = staged(docs.filter(strip(F.col("text")) != "").select("doc_id", "text"), text=clean_strict(F.col("text")))
+    out = None
+    for k, pattern in enumerate(PHASES):
+        heads = cleaned.filter(F.col("text").rlike(pattern)).select("doc_id", "text", finditer(F.col("text"), pattern).alias("h"))
+        rows = heads.select("doc_id", "text", F.posexplode("h").alias("position", "m"), F.col("h").alias("all"))
+        following = F.coalesce(F.get("all", F.col("position") + 1)["at"], F.length("text"))
+        rows = with_end(rows.select("doc_id", "position", "text", F.col("m.match").alias("heading"), F.col("m.at").alias("start"), following.alias("following")))
+        rows = staged(rows, body=clean_strict(part(F.col("text"), F.col("start"), F.col("end")))).withColumn("phase", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    out = staged(out, rule=recommendation_rule(F.col("body"), True))
+    verdict = F.coalesce(garbage(F.col("body"), True), F.when(F.col("rule").isNull(), "no_rule"), F.when(F.col("rule.confidence") < least, "low_confidence"), F.lit("kept"))
+    return out.select("doc_id", "phase", "position", "heading", verdict.alias("verdict"))
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -183,6 +281,8 @@ def statistics(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.countDistinct("verb").alias("unique_verbs"), F.round(F.avg("confidence"), 3).alias("mean_confidence"),
         F.count_if(F.col("in_section")).alias("in_section"), F.count_if(high).alias("high"), F.count_if((F.col("confidence") >= 0.75) & ~high).alias("medium"),
     )
+    rows = rows.select(F.coalesce("method", F.lit("unknown")).alias("method"), F.coalesce("verb", F.lit("unknown")).alias("verb"))
     methods = rows.groupBy("method").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "n")))).alias("methods"))
     verbs = rows.groupBy("verb").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "verb").limit(10)
-    return total.join(methods).join(verbs.agg(F.map_from_entries(F.collect_list(F.struct("verb", "n"))).alias("top_verbs")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "verb"))), lambda x: F.struct(x["verb"], -x["o"]))
+    return total.join(methods).join(verbs.agg(F.map_from_entries(ordered).alias("top_verbs")))

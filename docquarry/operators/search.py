@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import lexicon as L
 from docquarry.functions.classify import theme
-from docquarry.functions.similarity import cosine, jaccard, ratio
-from docquarry.functions.text import any_contains, array_of, meaningful, page, tokens
+from docquarry.functions.similarity import jaccard, ratio
+from docquarry.functions.text import any_contains, array_of, let, meaningful, page, prefix_sums, tokens
 from docquarry.operators.segment import plain_sentences, remove_overlaps
 
 
-BROADCAST_QUERIES = 20_000
-QUERY_BLOCK = 2_000  # queries compared with a vector at once
+ROUND_QUERIES = 20_000  # queries that all tasks are sent at once, about
+QUERY_BLOCK = 500  # queries that a batch of vectors is multiplied with at once
 
 
 def query_words(query: str) -> list[str]:
@@ -25,11 +28,12 @@ def query_words(query: str) -> list[str]:
     return [w for w in re.findall(r"[^\W]+", query.lower()) if len(w) > 1 and w not in L.STOP_WORDS]
 
 
-def smart(docs: DataFrame, query: str) -> DataFrame:
+def smart(docs: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     """``doc_id``, ``ordinal``, ``position``, ``matched_text``, ``score``, ``word_matches`` and ``page_number`` of the sentences that hold words of the query."""
     words = query_words(query)
     rows = plain_sentences(docs, 11, renumber=True)
-    hits = sum((F.lower("sentence").contains(w).cast("int") for w in words), F.lit(0))
+    held = F.col("sentence") if case_sensitive else F.lower("sentence")
+    hits = sum((held.contains(w).cast("int") for w in words), F.lit(0))
     score = F.least(F.lit(100.0), F.col("word_matches") * 100.0 / max(1, len(words)) * F.when(F.col("word_matches") > 1, 1.2).otherwise(1.0))
     found = rows.withColumn("word_matches", hits).filter(F.col("word_matches") > 0)
     return found.select("doc_id", "ordinal", "position", F.col("sentence").alias("matched_text"), score.alias("score"), "word_matches", page(F.col("position")).alias("page_number"))
@@ -49,8 +53,8 @@ def exact(docs: DataFrame, query: str, case_sensitive: bool = False) -> DataFram
     # A look-ahead group finds overlapping occurrences; the parts between them give their places.
     parts = F.split(low, f"(?={re.escape(wanted)})", -1)
     rows = docs.filter(F.length("text") >= size).select("doc_id", "text", low.alias("low"), parts.alias("parts"))
-    acc = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-    each = rows.filter(F.col("low").contains(wanted)).select("doc_id", "text", "low", F.explode(acc).alias("position"))
+    places = prefix_sums(F.transform("parts", lambda p: F.length(p)))
+    each = rows.filter(F.col("low").contains(wanted)).select("doc_id", "text", "low", F.explode(places).alias("position"))
     each = each.filter(F.substring("low", F.col("position") + 1, F.lit(size)) == wanted)
     start = F.greatest(F.col("position") - 150, F.lit(0))
     context = F.substring("text", start + 1, F.least(F.col("position") + size + 150, F.length("text")) - start)
@@ -64,14 +68,17 @@ def basic(docs: DataFrame, query: str) -> DataFrame:
     return docs.filter(low.contains(wanted)).select("doc_id", times.alias("matches"))
 
 
-def fuzzy(docs: DataFrame, query: str, least: float = 0.6) -> DataFrame:
+def fuzzy(docs: DataFrame, query: str, least: float = 0.6, case_sensitive: bool = False, context: bool = False) -> DataFrame:
     """``doc_id``, ``position``, ``word``, ``query_word`` and ``score`` of words like a word of the query; per place the best.
 
     The ratio is taken of distinct words only, and only of those whose lengths allow it. Positions are those in the text
-    with white space squeezed.
+    with white space squeezed. ``context`` adds the ten words before a word, itself and the nine after it.
     """
     wanted = query_words(query)
-    words = docs.filter(F.length("text") > 0).select("doc_id", F.posexplode(tokens(F.lower("text"))).alias("ordinal", "word"))
+    own = tokens(F.col("text") if case_sensitive else F.lower("text"))
+    made = lambda xs: F.zip_with(xs, prefix_sums(F.transform(xs, lambda w: F.length(w) + 1)), lambda w, at: F.struct(w.alias("word"), at.alias("position")))
+    rows = docs.filter(F.length("text") > 0).select("doc_id", "text", F.posexplode(let(own, made)).alias("ordinal", "w"))
+    words = rows.select("doc_id", "text", "ordinal", "w.word", "w.position") if context else rows.select("doc_id", "ordinal", "w.word", "w.position")
     bound = F.lit(False)
     for q in wanted:
         bound = bound | (2.0 * F.least(F.length("word"), F.lit(len(q))) / (F.length("word") + len(q)) > least)
@@ -80,9 +87,17 @@ def fuzzy(docs: DataFrame, query: str, least: float = 0.6) -> DataFrame:
     pairs = pairs.filter(2.0 * F.least(F.length("word"), F.length("query_word")) / (F.length("word") + F.length("query_word")) > least)
     scored = pairs.withColumn("r", ratio("query_word", "word")).filter(F.col("r") > least)
     best = scored.groupBy("word").agg(F.max(F.struct(F.col("r"), F.col("query_word"))).alias("b"))
-    w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    placed = words.withColumn("position", F.coalesce(F.sum(F.length("word") + 1).over(w), F.lit(0)).cast("int"))
-    return placed.join(best, "word").select("doc_id", "position", "word", F.col("b.query_word").alias("query_word"), (F.col("b.r") * 100).alias("score"))
+    found = words.join(best, "word")
+    columns = ["doc_id", "position", "word", F.col("b.query_word").alias("query_word"), (F.col("b.r") * 100).alias("score")]
+    if context:
+        columns.append(word_context(F.col("text"), F.col("ordinal")).alias("context"))
+    return found.select(*columns)
+
+
+def word_context(text: Column, ordinal: Column, before: int = 10, after: int = 10) -> Column:
+    """The words from ``before`` before a word, counted from 0, up to ``after`` behind it, which is left out."""
+    first = F.greatest(ordinal - before, F.lit(0))
+    return F.array_join(F.slice(tokens(text), first + 1, ordinal + after - first), " ")
 
 
 def related_words(word: str) -> list[str]:
@@ -119,7 +134,7 @@ def synonyms(docs: DataFrame, query: str) -> DataFrame:
 def synonym_search(docs: DataFrame, query: str) -> DataFrame:
     """``synonyms`` without matches that overlap better ones."""
     spans = synonyms(docs, query).withColumn("upto", F.col("position") + F.length("matched_text"))
-    return remove_overlaps(spans, "position", "upto", "score", "doc_id").drop("upto")
+    return remove_overlaps(spans, "position", "upto", "score", "doc_id", ties=("ordinal", "query_word")).drop("upto")
 
 
 def hybrid(docs: DataFrame, query: str) -> DataFrame:
@@ -153,20 +168,48 @@ def pattern_matches(docs: DataFrame, patterns: list[str]) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vec_id: str = "vec_id", least: float | None = None) -> DataFrame:
     """``query_id``, ``vec_id`` and ``similarity``: the ``k`` nearest vectors of each query by cosine, ties to the smaller id.
 
-    Queries go to the vectors in blocks; up to ``BROADCAST_QUERIES`` of them, which are counted, are broadcast. Each
-    partition of vectors keeps only each query's ``k`` best before anything is exchanged.
+    Queries, which are counted, are dealt to rounds of at most about ``ROUND_QUERIES``; a round's queries go to every task
+    as a matrix, with which batches of vectors are multiplied in blocks. Of a batch only each query's ``k`` best, and its
+    ties, are passed on. Similarities have twelve decimal places; a vector of zeros has the similarity 0.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").alias("qv"))
-    n = q.count()
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK))))
-    held = q.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs")).select("qs")
-    held = F.broadcast(held) if n <= BROADCAST_QUERIES else held
-    pairs = vectors.select(F.col(vec_id).alias("vec_id"), "embedding").join(held).select("vec_id", "embedding", F.explode("qs").alias("q"))
-    scored = pairs.select("q.query_id", "vec_id", cosine(F.col("q.qv"), F.col("embedding")).alias("similarity"))
-    if least is not None:
-        scored = scored.filter(F.col("similarity") >= least)
+    q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col("embedding").alias("qv")).filter(F.col("query_id").isNotNull() & F.col("qv").isNotNull())
+    own = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    rounds = max(1, -(-q.count() // ROUND_QUERIES))
+    found = None
+    for turn in range(rounds):
+        table = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == turn).toArrow()
+        ids, matrix = table.column(0).to_numpy(), _unit(table.column(1).combine_chunks())
+        part = own.mapInArrow(_best_of_batches(q.sparkSession.sparkContext.broadcast((ids, matrix)), k, least), "query_id bigint, vec_id bigint, similarity double")
+        found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Arrow lists of equal length as rows of length 1, or of zeros."""
+    if not len(vectors):
+        return np.zeros((0, 0))
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    size = np.sqrt((rows * rows).sum(1))
+    return rows / np.where(size == 0, 1.0, size)[:, None]
+
+
+def _best_of_batches(shared, k: int, least: float | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            keys, rows = batch.column(0).to_numpy(), _unit(batch.column(1))
+            for at in range(0, len(ids), QUERY_BLOCK):
+                score = np.round(matrix[at : at + QUERY_BLOCK] @ rows.T, 12)
+                if len(keys) > k:
+                    bound = np.partition(score, len(keys) - k, axis=1)[:, len(keys) - k][:, None]
+                    score = np.where(score >= bound, score, -np.inf)
+                q, v = np.nonzero(score > -np.inf if least is None else score >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + q]), pa.array(keys[v]), pa.array(score[q, v])], ["query_id", "vec_id", "similarity"])
+
+    return run
 
 
 def best_variant(scores: DataFrame, keys: list[str], score: str = "similarity") -> DataFrame:
@@ -200,13 +243,6 @@ def ends_of(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return ranked.filter((F.col("__r") <= n) | (F.col("__r") > F.col("__n") - n)).drop("__r", "__n")
 
 
-def highlight(text: Column, words: list[str], left: str = "[", right: str = "]") -> Column:
-    """The text with every word that begins with one of ``words`` between marks, longer ones first, short ones skipped."""
-    for w in sorted({x for x in words if len(x) > 2}, key=lambda x: (-len(x), x)):
-        text = F.regexp_replace(text, rf"(?i)\b{re.escape(w)}\w*", f"{left}$0{right}")
-    return text
-
-
 def word_ratio(a: str, b: str) -> float:
     """The ratio that ``fuzzy`` uses, for one pair."""
     return SequenceMatcher(None, a, b).ratio()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.functions.text import SPACE, norm_line, position, strip, with_spaces_after
+from docquarry.functions.text import SPACE, any_contains, norm_line, position, strip, with_spaces_after
 
 SENTENCE_END = r"[.!?]+"
 
@@ -92,16 +92,47 @@ def pages(docs: DataFrame, mark: str = "\f") -> DataFrame:
 
 
 def without_running_lines(elements: DataFrame, top: int = 2, bottom: int = 3, share: float = 0.3, least: int = 10) -> DataFrame:
-    """``elements`` without the lines that stand at the head or foot of many of their document's pages."""
-    up, down = Window.partitionBy("doc_id", "page").orderBy("elem"), Window.partitionBy("doc_id", "page").orderBy(F.desc("elem"))
+    """``elements`` without the lines that stand at the head or foot of many of their document's pages.
+
+    Only the edges of pages, taken within each page, are counted; the pages of a document are counted with them.
+    """
     named = elements.withColumn("norm", norm_line(F.col("line")))
-    edges = named.withColumn("r", F.row_number().over(up)).withColumn("s", F.row_number().over(down))
-    times = (F.col("r") <= top).cast("int") + (F.col("s") <= bottom).cast("int")
-    edges = edges.withColumn("times", times).filter((F.col("times") > 0) & (F.length("norm") >= least))
-    counted = edges.groupBy("doc_id", "norm").agg(F.sum("times").alias("times"))
-    size = elements.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
-    running = counted.join(size, "doc_id").filter(F.col("times") >= F.greatest(F.lit(2), F.floor(F.col("pages") * share)))
-    return named.join(running.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti").drop("norm")
+    held = named.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("elem", "norm"))).alias("all"))
+    ends = F.concat(F.slice("all", 1, top), F.slice("all", -F.least(F.lit(bottom), F.size("all")), F.lit(bottom)))
+    counted = held.select("doc_id", "page", F.explode(F.concat(F.transform(ends, lambda x: x["norm"]), F.array(F.lit(None).cast("string")))).alias("norm"))
+    counted = counted.groupBy("doc_id", "norm").agg(F.count(F.lit(1)).alias("times"))
+    pages_of = F.max(F.when(F.col("norm").isNull(), F.col("times"))).over(Window.partitionBy("doc_id"))
+    often = counted.withColumn("pages", pages_of).filter((F.length("norm") >= least) & (F.col("times") >= F.greatest(F.lit(2), F.floor(F.col("pages") * share))))
+    return named.join(often.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti").drop("norm")
+
+
+def element_pages(elements: DataFrame) -> DataFrame:
+    """``page_texts`` of elements as a layout reader gives them (``doc_id``, ``page_number``, ``elem_idx``, ``text``), those without a page on the first.
+
+    Running lines go, pages without a line are left out.
+    """
+    rows = elements.select("doc_id", F.coalesce("page_number", F.lit(1)).alias("page"), F.col("elem_idx").alias("elem"), strip(F.col("text")).alias("line")).filter(F.length("line") > 0)
+    return page_texts(without_running_lines(rows))
+
+
+def page_break_dump(docs: DataFrame, mark: str = "\f", shown: str = "\n\n--- PAGE BREAK ---\n\n") -> DataFrame:
+    """``doc_id`` and ``value``, the text with its page breaks written out."""
+    return docs.select("doc_id", F.replace(F.col("text"), F.lit(mark), F.lit(shown)).alias("value"))
+
+
+def paragraphs(text: Column, words: tuple[str, ...] = ("however", "furthermore", "additionally", "therefore", "moreover", "meanwhile")) -> Column:
+    """A text's sentences as paragraphs of four, or of three where the third or a later one holds a connective, each behind a mark."""
+    said = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+", -1), strip), lambda s: s != "")
+    none = F.array().cast("array<string>")
+    state = F.struct(none.alias("out"), none.alias("now"))
+
+    def step(acc: Column, s: Column) -> Column:
+        now = F.concat(acc["now"], F.array(s))
+        full = (F.size(now) >= 4) | ((F.size(now) >= 3) & any_contains(F.lower(s), list(words)))
+        return F.struct(F.when(full, F.concat(acc["out"], F.array(F.array_join(now, " ")))).otherwise(acc["out"]).alias("out"), F.when(full, none).otherwise(now).alias("now"))
+
+    last = lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["out"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["out"])
+    return F.array_join(F.transform(F.aggregate(said, state, step, last), lambda p: F.concat(F.lit("> "), p)), "\n\n")
 
 
 def page_texts(elements: DataFrame) -> DataFrame:
@@ -135,20 +166,20 @@ def metrics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.length(text).alias("chars"), tokens.alias("words"), sentences.alias("sentences"), F.greatest(F.lit(1), F.floor(F.length(text) / 2000).cast("int")).alias("pages"))
 
 
-def remove_overlaps(matches: DataFrame, start: str, end: str, score: str, *keys: str) -> DataFrame:
-    """The matches of each group of ``keys`` that overlap none kept before them, by score, then start; an order-dependent choice made a group at a time."""
+def remove_overlaps(matches: DataFrame, start: str, end: str, score: str, *keys: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The matches of each group of ``keys`` that overlap none kept before them, by score, then start, end and ``ties``; an order-dependent choice made a group at a time."""
+    order = [score, start, end, *ties]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         starts, ends, kept = [], [], []
-        for row in pdf.sort_values([score, start, end], ascending=[False, True, True]).itertuples():
-            a, b = getattr(row, start), getattr(row, end)
+        pdf = pdf.sort_values(order, ascending=[False] + [True] * (len(order) - 1)).reset_index(drop=True)
+        for at, (a, b) in enumerate(zip(pdf[start].tolist(), pdf[end].tolist(), strict=True)):
             k = bisect.bisect_right(starts, a)
             if (k and ends[k - 1] > a) or (k < len(starts) and starts[k] < b):
                 continue
             starts.insert(k, a)
             ends.insert(k, b)
-            kept.append(row.Index)
+            kept.append(at)
         return pdf.loc[kept]
 
     return matches.groupBy(*keys).applyInPandas(run, matches.schema)
-

@@ -41,3 +41,37 @@ def by_document(matches: DataFrame, score: str) -> DataFrame:
 def recent(history: DataFrame, n: int = 5) -> DataFrame:
     """The last searches, newest first."""
     return history.orderBy(F.desc("searched_at"), "query").limit(n)
+
+
+def corpus_by(docs: DataFrame, *columns: str) -> DataFrame:
+    """``column``, ``value`` and ``n``: how many documents have each value of the columns."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for c in columns)))
+    return docs.select(each.alias("e")).groupBy("e.column", "e.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def size_summary(docs: DataFrame, size: str = "file_size_mb") -> DataFrame:
+    """One row: documents, their whole size and the mean of it."""
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum(size), 2).alias("total_mb"), F.round(F.avg(size), 2).alias("mean_mb"))
+
+
+def document_table(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A line a document: name, type, words, characters and size, and the columns to ``keep``."""
+    kind = F.coalesce("document_type", F.lit("general"))
+    return docs.select(*keep, "filename", kind.alias("document_type"), F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.coalesce("file_size_mb", F.lit(0.0)).alias("file_size_mb"))
+
+
+def search_totals(ranked: DataFrame) -> DataFrame:
+    """One row about ranked documents: how many, all their matches and their mean score."""
+    return ranked.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("total_matches"), F.lit(0)).alias("total_matches"), F.avg("overall_score").alias("mean_score"))
+
+
+def upload_summary(docs: DataFrame) -> DataFrame:
+    """One row about documents just read: how many, their words and the whole mean of words."""
+    n, words = F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce("word_count", F.lit(0))), F.lit(0))
+    return docs.agg(n.alias("documents"), words.alias("words"), F.when(n > 0, F.floor(words / n)).otherwise(0).alias("mean_words"))
+
+
+def response_kinds(rows: DataFrame) -> DataFrame:
+    """One row: responses, and how many are structured or from sentences."""
+    kind = F.col("response_type")
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(kind == "structured").alias("structured"), F.count_if(kind == "sentence").alias("sentence_level"))

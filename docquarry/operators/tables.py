@@ -68,3 +68,24 @@ def as_text(rows: Column) -> Column:
     asked = F.exists(F.get(_clean(rows), F.lit(0)), lambda h: _any(F.lower(h), ("recommendation", "action", "owner", "timescale", "improvement")))
     told = let(recommendations(rows), lambda x: F.nullif(x, F.lit("")))
     return F.when(F.size(rows) < 2, "").otherwise(F.coalesce(F.when(asked, told), generic(rows)))
+
+
+def substantial(tables: Column) -> Column:
+    """Whether one of a page's tables has more than two rows and more than two columns."""
+    return F.exists(tables, lambda t: (F.size(t) > 2) & (F.size(F.get(t, F.lit(0))) > 2))
+
+
+def page_text(text: Column, tables: Column) -> Column:
+    """A page's text followed by its tables as text.
+
+    Where a table is substantial, lines that look like rows of it are left out, and of tables whose texts begin alike the
+    first stays; else the text is as it is.
+    """
+    lines = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(r"^(\S+\s{3,}){2,}")), "\n")
+
+    def joined(made: Column) -> Column:
+        fresh = F.filter(made, lambda t, i: (F.trim(t) != "") & (F.array_position(F.transform(made, lambda x: F.substring(F.trim(x), 1, 100)), F.substring(F.trim(t), 1, 100)) == i + 1))
+        return F.array_join(F.concat(F.when(F.trim(lines) != "", F.array(lines)).otherwise(F.array().cast("array<string>")), fresh), "\n\n")
+
+    made = F.transform(F.filter(tables, lambda t: F.size(t) > 1), as_text)
+    return F.when(F.coalesce(substantial(tables), F.lit(False)), let(made, joined)).otherwise(text)

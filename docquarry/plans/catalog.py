@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import classify, text
 from docquarry.functions import lexicon as L
-from docquarry.functions.similarity import content_words, cosine, dot, jaccard, simple_similarity
-from docquarry.operators import align, recommend, respond, search, segment, stats, tables
+from docquarry.functions.similarity import content_words, dot, jaccard, simple_similarity
+from docquarry.operators import align, engine, highlight, recommend, respond, search, segment, stats, tables
 from docquarry.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,15 +183,25 @@ def synonym_matches(spark: SparkSession, sf: str) -> DataFrame:
     return search.synonyms(documents(spark, sf), SYNONYM_QUERY)
 
 
-@query()
+def greedy(inner: str, *ties: str) -> str:
+    """SQL of ``remove_overlaps`` by position, length and score within a document."""
+    order = ", ".join(["score DESC", "a", "b", *ties])
+    return f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS rn FROM (SELECT *, position AS a, position + length(matched_text) AS b FROM ({inner}))),
+        g AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, []::STRUCT(x BIGINT, y BIGINT)[] AS kept, false AS ok FROM m
+              UNION ALL SELECT doc_id, rn, CASE WHEN free THEN list_append(kept, {{'x': a::BIGINT, 'y': b::BIGINT}}) ELSE kept END, free
+              FROM (SELECT m.doc_id, m.rn, m.a, m.b, g.kept, len(list_filter(g.kept, lambda k: k.x < m.b AND m.a < k.y)) = 0 AS free FROM g JOIN m ON m.doc_id = g.doc_id AND m.rn = g.i + 1))
+        SELECT m.* EXCLUDE (a, b, rn) FROM m JOIN g ON m.doc_id = g.doc_id AND m.rn = g.i WHERE g.ok"""
+
+
+@query(greedy(_synonym_sql(), "ordinal", "query_word"))
 def synonym_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.synonym_search(documents(spark, sf), SYNONYM_QUERY)
 
 
-@query()
+@query(greedy(SMART, "ordinal"))
 def overlap_removal(spark: SparkSession, sf: str) -> DataFrame:
     found = search.smart(documents(spark, sf), QUERY).withColumn("upto", F.col("position") + F.length("matched_text"))
-    return segment.remove_overlaps(found, "position", "upto", "score", "doc_id")
+    return segment.remove_overlaps(found, "position", "upto", "score", "doc_id", ties=("ordinal",)).drop("upto")
 
 
 HYBRID = "review"
@@ -247,7 +257,24 @@ def clean_pdf(spark: SparkSession, sf: str) -> DataFrame:
     return recs(spark, sf).select("rec_key", text.clean_pdf(own).alias("text"), text.has_artifacts(own).alias("marked"))
 
 
-@query()
+def _strict_sql() -> str:
+    x = "text"
+    for old, new in [("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("Â ", " "), ("\xa0", " "), ("\ufffd", "")]:
+        x = f"replace({x}, {q(old)}, {q(new)})"
+    between = (r"([a-z])\s+\d{1,2}\s+([a-z])", r"\1 \2")  # twice, since a match takes the letter that the next one begins with
+    steps = [
+        (r"https?://[^\s<>\"']+", ""), (r"www\.[^\s<>\"']+", ""), (r"[a-zA-Z0-9.-]+\.gov\.uk[^\s]*", ""), (r"[a-zA-Z0-9.-]+\.org\.uk[^\s]*", ""), (r"[a-zA-Z0-9.-]+\.nhs\.uk[^\s]*", ""),
+        (r"(?i)\d{1,2}/\d{1,2}/\d{2,4},?\s*\d{1,2}:\d{2}\s*(?:AM|PM)?[^A-Z]*", " "), (r"\b(\d{1,2})/(\d{1,3})\b", ""), (r"(?i)\bPage\s+\d+\s+(?:of\s+\d+)?", ""),
+        (r"\s+\d{1,2}\s*$", ""), (r"^\s*\d{1,2}\s+([A-Z])", r"\1"), (r"\n\s*\d{1,2}\s*\n", "\n"), (r"([.!?])\s*\d{1,2}\s*([A-Z])", r"\1 \2"), between, between,
+        (r"(?i)Rapid review into data on mental health inpatient settings:.*?GOV\.?UK", ""), (r"(?i)final report and recommendations\s*-?\s*GOV\.?UK?", ""), (r"(?i)-\s*GOV\.?\s*UK?\s*", ""),
+        (r"(?i)\bRecommendations\s+Recommendation\s+(\d+)\b", r"Recommendation \1"), (r"^UK\s+", ""),
+    ]
+    for pattern, new in steps:
+        x = f"regexp_replace({x}, {q(pattern)}, {q(new)}, 'g')"
+    return f"SELECT rec_key, {squeeze(x)} AS text FROM {RECS}"
+
+
+@query(_strict_sql())
 def clean_strict(spark: SparkSession, sf: str) -> DataFrame:
     return recs(spark, sf).select("rec_key", text.clean_strict(F.col("text")).alias("text"))
 
@@ -288,7 +315,8 @@ def header_footer(spark: SparkSession, sf: str) -> DataFrame:
     return segment.without_running_lines(segment.pages(documents(spark, sf))).select("doc_id", "page", "elem", "line")
 
 
-@query()
+@query(f"""WITH p AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY elem) AS text FROM ({_pages_sql()}) GROUP BY doc_id, page)
+    SELECT doc_id, page, start_at, (start_at + length(text))::INTEGER AS end_at FROM (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start_at FROM p)""")
 def page_spans(spark: SparkSession, sf: str) -> DataFrame:
     return segment.page_texts(segment.without_running_lines(segment.pages(documents(spark, sf)))).select("doc_id", "page", "start_at", "end_at")
 
@@ -435,15 +463,24 @@ def recommendation_likeness(spark: SparkSession, sf: str) -> DataFrame:
     return recs(spark, sf).select("rec_key", e["is_recommendation"].alias("is_recommendation"), e["confidence"].alias("confidence"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, rec_key AS position, text, list_distinct(list_filter(string_split_regex(lower(text), '{SPACE}+'), lambda x: x <> '')) AS w FROM {RECS})
+    SELECT doc_id, position, text FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.doc_id = a.doc_id AND b.position < a.position AND len(a.w) > 0 AND len(b.w) > 0
+        AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) > 0.85)""")
 def recommendations_alike(spark: SparkSession, sf: str) -> DataFrame:
     return recommend.distinct_alike(recs(spark, sf).select("doc_id", F.col("rec_key").alias("position"), "text"))
 
 
-@query(f"""SELECT count(*) AS total, count(DISTINCT verb) AS unique_verbs, round(avg(confidence), 3) AS mean_confidence, count_if(in_section) AS in_section, count_if(confidence >= 0.9) AS high,
-    count_if(confidence >= 0.75 AND confidence < 0.9) AS medium FROM {RECS}""")
+def entries(column: str) -> F.Column:
+    """A map as text."""
+    return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+
+
+@query(f"""WITH r AS (SELECT *, coalesce(method, 'unknown') AS m, coalesce(verb, 'unknown') AS v FROM {RECS})
+    SELECT count(*) AS total, count(DISTINCT verb) AS unique_verbs, round(avg(confidence), 3) AS mean_confidence, count_if(in_section) AS in_section, count_if(confidence >= 0.9) AS high,
+    count_if(confidence >= 0.75 AND confidence < 0.9) AS medium, (SELECT string_agg(m || ':' || n, ',' ORDER BY m) FROM (SELECT m, count(*) AS n FROM r GROUP BY m)) AS methods,
+    (SELECT string_agg(v || ':' || n, ',' ORDER BY n DESC, v) FROM (SELECT v, count(*) AS n FROM r GROUP BY v ORDER BY n DESC, v LIMIT 10)) AS top_verbs FROM r""")
 def rec_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return recommend.statistics(recs(spark, sf)).drop("methods", "top_verbs")
+    return recommend.statistics(recs(spark, sf)).withColumns({c: entries(c) for c in ("methods", "top_verbs")})
 
 
 @query(f"SELECT doc_id, rec_number, rec_key FROM (SELECT *, CASE WHEN regexp_matches(rec_number, '^[0-9]+$') THEN rec_number END AS n FROM {RECS} WHERE rec_number IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY doc_id, rec_number ORDER BY length(text) DESC, position NULLS FIRST, rec_key) = 1")
@@ -516,19 +553,27 @@ def align_keyword(spark: SparkSession, sf: str) -> DataFrame:
 CASED = f"list_distinct(list_filter(regexp_extract_all(text, '{text.HYPHEN_WORD}'), lambda x: length(x) > 2 AND lower(x) NOT IN ({STOPS})))"
 
 
-@query(f"""WITH l AS (SELECT doc_id, rec_key, position AS p, {CASED} AS a FROM {RECS}), r AS (SELECT doc_id, resp_key, position AS pp, {CASED} AS b FROM {RESPS}),
-    s AS (SELECT rec_key, resp_key, p, pp, len(list_intersect(a, b))::DOUBLE / greatest(1, len(list_distinct(list_concat(a, b)))) AS j FROM l JOIN r USING (doc_id) WHERE len(a) > 0 AND len(b) > 0),
-    c AS (SELECT *, j * CASE WHEN pp > p THEN 1.2 * 1.1 ELSE 1.2 END::DOUBLE AS c FROM s)
-    SELECT rec_key, row_number() OVER w::INTEGER AS rank, resp_key, CASE WHEN c > 1 THEN 1.0 ELSE c END::DOUBLE AS combined_score, j AS similarity_score, true AS same_document FROM c WHERE round(c, 12) >= 0.1
-    WINDOW w AS (PARTITION BY rec_key ORDER BY round(c, 12) DESC, resp_key) QUALIFY row_number() OVER w <= 3""")
+TOP_THREE = f"""WITH l AS (SELECT doc_id, rec_key, position AS p, {CASED} AS a FROM {RECS}), r AS (SELECT doc_id AS rd, resp_key, position AS pp, {CASED} AS b FROM {RESPS}),
+    k AS (SELECT rec_key, resp_key, count(*) AS shared FROM (SELECT rec_key, unnest(a) AS word FROM l) JOIN (SELECT resp_key, unnest(b) AS word FROM r) USING (word) GROUP BY ALL),
+    s AS (SELECT rec_key, resp_key, coalesce(doc_id = rd, false) AS same_document, shared::DOUBLE / (len(a) + len(b) - shared) * CASE WHEN doc_id = rd THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END
+          * CASE WHEN doc_id = rd AND pp > p THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS similarity_score FROM k JOIN l USING (rec_key) JOIN r USING (resp_key)),
+    c AS (SELECT *, least(similarity_score, 1.0::DOUBLE) AS combined_score FROM s WHERE similarity_score >= 0.3::DOUBLE)
+    SELECT rec_key, row_number() OVER w::INTEGER AS rank, resp_key, combined_score, similarity_score, same_document FROM c
+    WINDOW w AS (PARTITION BY rec_key ORDER BY round(combined_score, 12) DESC, resp_key) QUALIFY row_number() OVER w <= 3"""
+
+
+@query(TOP_THREE)
 def align_legacy_top3(spark: SparkSession, sf: str) -> DataFrame:
-    return align.top_three(recs(spark, sf), resps(spark, sf), least=0.1, across=False)
+    return align.top_three(recs(spark, sf), resps(spark, sf))
 
 
-@query()
+@query(f"""SELECT rec_key, coalesce(n, 0)::INTEGER AS answers, resp_key AS best, coalesce(combined_score, 0.0::DOUBLE) AS alignment_confidence,
+    CASE WHEN resp_key IS NULL THEN 'No response found' WHEN same_document THEN 'Direct response' WHEN combined_score >= 0.5 THEN 'Possible response' ELSE 'Uncertain' END AS alignment_status
+    FROM (SELECT rec_key FROM {RECS}) LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY rec_key) AS n FROM ({TOP_THREE}) QUALIFY rank = 1) USING (rec_key)""")
 def align_legacy_nested(spark: SparkSession, sf: str) -> DataFrame:
     own = recs(spark, sf)
-    return align.nested(align.top_three(own, resps(spark, sf), least=0.1), own)
+    rows = align.nested(align.top_three(own, resps(spark, sf)), own)
+    return rows.select("rec_key", F.coalesce(F.size("responses"), F.lit(0)).alias("answers"), F.get("responses", F.lit(0))["resp_key"].alias("best"), "alignment_confidence", "alignment_status")
 
 
 @query(f"""WITH l AS (SELECT doc_id, rec_key, rec_id, TRY_CAST(rec_number AS INTEGER) AS n, list_distinct(regexp_extract_all(lower(text), '{text.WORD}')) AS a FROM {RECS}),
@@ -540,12 +585,40 @@ def align_v2(spark: SparkSession, sf: str) -> DataFrame:
     return align.by_label(recs(spark, sf), resps(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, rec_key, rec_id, TRY_CAST(rec_number AS INTEGER) AS n, list_distinct(regexp_extract_all(lower(text), '{text.WORD}')) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY rec_key) AS rn FROM {RECS}),
+    r AS (SELECT doc_id, resp_key, rec_id AS pid, TRY_CAST(rec_number AS INTEGER) AS pn, list_distinct(regexp_extract_all(lower(text), '{text.WORD}')) AS b FROM {RESPS}),
+    p AS (SELECT rec_key, resp_key, CASE WHEN rec_id = pid AND rec_id <> '' THEN 1 WHEN n = pn THEN 2 ELSE 3 END AS tier, len(list_intersect(a, b))::DOUBLE / greatest(1, len(list_distinct(list_concat(a, b)))) AS similarity FROM l JOIN r USING (doc_id)),
+    c AS (SELECT rec_key, list({{'k': resp_key, 't': tier, 's': similarity}} ORDER BY tier, similarity DESC, resp_key) AS all_of FROM p WHERE similarity > 0 GROUP BY rec_key),
+    o AS (SELECT l.doc_id, l.rec_key, l.rn, coalesce(all_of, []) AS all_of FROM l LEFT JOIN c USING (rec_key)),
+    g AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS rec_key, NULL::STRUCT(k BIGINT, t INTEGER, s DOUBLE) AS best FROM o
+          UNION ALL SELECT doc_id, rn, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.k) END, rec_key, best
+          FROM (SELECT o.doc_id, o.rn, o.rec_key, g.used, list_filter(o.all_of, lambda x: NOT list_contains(g.used, x.k))[1] AS best FROM g JOIN o ON o.doc_id IS NOT DISTINCT FROM g.doc_id AND o.rn = g.i + 1))
+    SELECT rec_key, best.k AS resp_key, best.s AS similarity, CASE best.t WHEN 1 THEN 'label_first' WHEN 2 THEN 'number_first' WHEN 3 THEN 'keyword' ELSE 'none' END AS match_method FROM g WHERE i > 0""")
 def align_v2_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
     return align.one_to_one(recs(spark, sf), resps(spark, sf))
 
 
-@query()
+DIRECTED = "CASE " + " ".join(f"WHEN regexp_matches(text, {q('(?i)' + p)}) THEN '{k}'" for p, k in L.DIRECTED) + " END"
+RECOMMENDS = f"regexp_matches({strip('lower(text)')}, {q('^(?:' + '|'.join(L.RECOMMENDING) + ')')})"
+
+
+def _tiers_sql() -> str:
+    dot_of = "list_sum(list_transform(list_zip(p.va, p.vb), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+    norm_of = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
+    return f"""WITH e AS (SELECT vec_id % (SELECT count(*) FROM embeddings) AS v, embedding FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings),
+        l AS (SELECT doc_id, rec_key, text AS lt, {normal(f"coalesce({REC_NUMBER}, rec_number)")} AS rn, regexp_replace({strip("lower(text)")}, '\\s+', ' ', 'g') AS ra, {DIRECTED} AS org, e.embedding AS va FROM {RECS}, n, e WHERE e.v = rec_key % n.n),
+        b AS (SELECT doc_id, resp_key, {BODY} AS text, {normal("coalesce(rec_number, rec_id)")} AS pn, coalesce(source_org, org_name) AS porg, e.embedding AS vb FROM {RESPS}, n, e WHERE e.v = resp_key % n.n),
+        r AS (SELECT *, regexp_replace({strip("lower(text)")}, '\\s+', ' ', 'g') AS rb, {holds("lower(text)", L.REPLY_PHRASES)} AS reply, {RECOMMENDS} AS recommends FROM b),
+        p AS (SELECT * FROM l JOIN r USING (doc_id) WHERE NOT {SELF}),
+        s AS (SELECT rec_key, resp_key, rn, pn, org, porg, reply, recommends, round({dot_of} / ({norm_of('p.va')} * {norm_of('p.vb')}), 12) AS sem FROM p),
+        k AS (SELECT *, row_number() OVER (PARTITION BY rec_key ORDER BY sem DESC, resp_key DESC) AS place FROM s),
+        t AS (SELECT *, CASE WHEN rn = pn AND sem >= 0.3 THEN 1 WHEN org = porg AND sem >= 0.55 THEN 2 WHEN place <= 6 AND sem >= 0.4 AND NOT recommends THEN 3 END AS tier FROM k),
+        f AS (SELECT *, CASE tier WHEN 1 THEN least(sem + 0.5, 1.0) WHEN 2 THEN least(sem + 0.15, 0.95) ELSE sem * CASE WHEN reply THEN 1.0 ELSE 0.7 END END AS score FROM t WHERE tier IS NOT NULL),
+        m AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY rec_key ORDER BY tier, round(score, 10) DESC, resp_key) = 1)
+        SELECT rec_key, resp_key, round(score, 9)::DOUBLE AS similarity, CASE tier WHEN 1 THEN 'id_match' WHEN 2 THEN 'org_match' WHEN 3 THEN 'semantic' END AS match_method FROM (SELECT rec_key FROM l) LEFT JOIN m USING (rec_key)"""
+
+
+@query(_tiers_sql())
 def align_tiers(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     n = vectors.count()
@@ -553,7 +626,7 @@ def align_tiers(spark: SparkSession, sf: str) -> DataFrame:
     with_vector = lambda df, key: df.withColumn("v", F.pmod(F.col(key), F.lit(n))).join(numbered, "v")
     left = with_vector(recs(spark, sf), "rec_key").withColumn("org", classify.directed_organisation(F.col("text")))
     right = with_vector(resps(spark, sf), "resp_key").withColumn("org", F.coalesce("source_org", "org_name"))
-    return align.by_tiers(left, right)
+    return align.by_tiers(left, right).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("""SELECT e.resp_key, m.rec_id AS before FROM (SELECT DISTINCT ON (resp_key) doc_id, resp_key, position FROM responses WHERE text IS NOT NULL) e
@@ -598,10 +671,8 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT vec_id, round(max(s), 9) AS similarity FROM (SELECT b.vec_id AS vec_id, {COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 3)) GROUP BY vec_id")
 def max_over_variants(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    variants = vectors.orderBy("vec_id").limit(3)
-    held = F.broadcast(variants.agg(F.collect_list("embedding").alias("vs")))
-    scores = vectors.join(held).select("vec_id", F.explode(F.transform("vs", lambda v: cosine(v, F.col("embedding")))).alias("similarity"))
-    return search.best_variant(scores, ["vec_id"]).withColumn("similarity", F.round("similarity", 9))
+    variants = [r.embedding for r in vectors.orderBy("vec_id").limit(3).collect()]
+    return vectors.select("vec_id", F.round(engine.best_cosine(F.col("embedding"), variants), 9).alias("similarity"))
 
 
 @query("""SELECT document_id, round(max(relevance_score) * 0.7 + avg(relevance_score) * 0.3, 9) AS overall_score, max(relevance_score) AS best_match_score, count(*) AS total_matches FROM
@@ -649,15 +720,33 @@ def filetype_share(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(\\bregister[0-9A-Za-z_]*)', '[\\1]', 'g'), '(?i)(\\bpolicy[0-9A-Za-z_]*)', '[\\1]', 'g') AS text FROM {DOCS}")
 def highlight_brackets(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).filter(F.length("text") > 0).select("doc_id", search.highlight(F.col("text"), ["register", "policy"]).alias("text"))
+    return documents(spark, sf).filter(F.length("text") > 0).select("doc_id", highlight.prefixed(F.col("text"), ["register", "policy"]).alias("text"))
 
 
-@query()
+def _chunks_sql(target: int = 300, overlap: int = 50) -> str:
+    two = "array_to_string(buf[-2:], ' ')"
+    alone, full = f"(length(s) > {target} AND len(buf) = 0)", f"(n + length(s) > {target} AND len(buf) > 0)"
+    kept = f"CASE WHEN len(buf) <= 1 THEN [] WHEN length({two}) <= {overlap} THEN buf[-2:] ELSE buf[-1:] END"
+    kept_n = f"CASE WHEN len(buf) <= 1 THEN 0 WHEN length({two}) <= {overlap} THEN length({two}) ELSE length(buf[-1]) END"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, list_transform(list_filter(list_transform(string_split(text, '.'), lambda x: {strip('x')}), lambda x: x <> ''), lambda x: x || '.') AS l FROM {DOCS}),
+        g AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS made, []::VARCHAR[] AS buf, 0::BIGINT AS n FROM d WHERE len(l) > 0
+              UNION ALL SELECT doc_id, i + 1, CASE WHEN {alone} THEN list_append(made, s) WHEN {full} THEN list_append(made, array_to_string(buf, ' ')) ELSE made END,
+                  CASE WHEN {alone} THEN buf WHEN {full} THEN list_append({kept}, s) ELSE list_append(buf, s) END, CASE WHEN {alone} THEN n WHEN {full} THEN {kept_n} + length(s) + 1 ELSE n + length(s) + 1 END
+              FROM (SELECT g.*, d.l[i + 1] AS s FROM g JOIN d USING (doc_id) WHERE i < len(d.l))),
+        f AS (SELECT g.doc_id, CASE WHEN len(buf) > 0 THEN list_append(made, array_to_string(buf, ' ')) ELSE made END AS c FROM g JOIN d USING (doc_id) WHERE i = len(d.l) UNION ALL SELECT doc_id, [text] FROM d WHERE len(l) = 0)
+        SELECT doc_id, unnest(range(len(c)))::INTEGER AS chunk_idx, unnest(c) AS chunk FROM f"""
+
+
+CHUNKS = _chunks_sql()
+CHUNK_CONTEXT = f"SELECT doc_id, chunk_idx, chunk, array_to_string(list(chunk) OVER (PARTITION BY doc_id ORDER BY chunk_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ' ... ') AS context FROM ({CHUNKS})"
+
+
+@query(CHUNKS)
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return segment.chunks(documents(spark, sf))
 
 
-@query()
+@query(CHUNK_CONTEXT)
 def chunk_context(spark: SparkSession, sf: str) -> DataFrame:
     return segment.chunk_context(segment.chunks(documents(spark, sf)))
 

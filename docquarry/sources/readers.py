@@ -71,9 +71,28 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read(spark: SparkSession, path: str, keep_errors: bool = True) -> DataFrame:
-    """Documents under ``path``: decoded by their extension, cleaned and classified."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= LARGEST)
-    return documents(files, keep_errors)
+    """Documents under ``path``: decoded by their extension, cleaned and classified; files too large to be read come out with that error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = documents(files.filter(F.col("length") <= LARGEST), keep_errors)
+    return rows.unionByName(oversized(files)) if keep_errors else rows
+
+
+def oversized(files: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """Files that are too large to be read, as documents with that error; their contents are not touched."""
+    name = F.element_at(F.split("path", "/"), -1)
+    none = lambda kind: F.lit(None).cast(kind)
+    return files.filter(F.col("length") > largest).select(
+        name.alias("filename"), none("string").alias("text"), none("int").alias("word_count"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("file_type"), F.round(F.col("length") / 1048576, 2).alias("file_size_mb"),
+        none("string").alias("document_type"), F.current_timestamp().alias("processed_at"), F.lit(f"larger than {largest} bytes").alias("error"),
+    )
+
+
+def placeholders(files: DataFrame) -> DataFrame:
+    """Files as documents without any decoder: plain texts as they are, others as a note of their names."""
+    name = F.element_at(F.split("path", "/"), -1)
+    plain = F.lower(name).endswith(".txt")
+    rows = files.select(name.alias("filename"), F.when(plain, F.decode("content", "UTF-8")).otherwise(F.concat(F.lit("[Content from "), name, F.lit(" - processing not available]"))).alias("text"))
+    return rows.select("filename", "text", F.size(tokens(F.col("text"))).alias("word_count"), F.lit("general").alias("document_type"), F.current_timestamp().alias("processed_at"), F.length("text").alias("file_size"))
 
 
 def documents(files: DataFrame, keep_errors: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.classify import response_status
 from docquarry.operators.search import pattern_matches
-from docquarry.sources.readers import LARGEST, documents
+from docquarry.sources.readers import LARGEST, documents, oversized
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -15,7 +15,7 @@ BINARY = "path string, modificationTime timestamp, length bigint, content binary
 def incoming(spark: SparkSession, path: str, files_a_trigger: int = 1_000) -> DataFrame:
     """New files under ``path`` as documents."""
     stream = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", files_a_trigger).load(path)
-    return documents(stream.filter(F.col("length") <= LARGEST))
+    return documents(stream.filter(F.col("length") <= LARGEST)).unionByName(oversized(stream))
 
 
 def watched(docs: DataFrame, patterns: list[str]) -> DataFrame:

@@ -8,7 +8,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docquarry.plans import catalog
+from docquarry.operators import align
+from docquarry.plans import catalog, workflows
+
+SQL, QUERIES = catalog.SQL | workflows.SQL, catalog.QUERIES | workflows.QUERIES
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -30,10 +33,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, str(DATA))
-    result = duck.execute(catalog.SQL[name])
+    df = QUERIES[name](spark, str(DATA))
+    result = duck.execute(SQL[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
     own = Counter(repr(tuple(plain(r[c]) for c in sorted(columns))) for r in df.collect())
@@ -42,11 +45,17 @@ def test_same_as_sql(spark, duck, name):
 
 
 def test_names():
-    assert set(catalog.SQL) <= set(catalog.QUERIES)
+    assert set(SQL) <= set(QUERIES) and not set(catalog.QUERIES) & set(workflows.QUERIES)
 
 
 def test_legacy_alignment_looks_into_other_documents(spark):
-    rows = catalog.QUERIES["align_legacy_nested"](spark, str(DATA)).collect()
-    best = {r.rec_key: r.responses[0] for r in rows if r.responses}
-    assert any(not b.same_document for b in best.values())
+    left, right = catalog.recs(spark, str(DATA)), catalog.resps(spark, str(DATA))
+    rows = align.nested(align.top_three(left, right, least=0.1), left).collect()
+    assert any(not r.responses[0].same_document for r in rows if r.responses)
     assert {r.alignment_status for r in rows} >= {"Direct response", "Uncertain"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_without_sql(spark, name):
+    df = QUERIES[name](spark, str(DATA))
+    assert len(set(df.columns)) == len(df.columns) and df.count() >= 0
