@@ -140,7 +140,7 @@ class Weighed:
         doc = np.repeat(np.arange(len(texts)), count)
         self.solid = np.bincount(doc, solid, len(texts)).astype(np.int64)
         self.run = np.bincount(doc, solid * run, len(texts)).astype(np.int64)
-        self.running = np.split(run, np.cumsum(count)[:-1])
+        self.running, self.sizes = (np.split(x, np.cumsum(count)[:-1]) for x in (run, solid))
 
 
 def repeated(xs: list[str]) -> float:

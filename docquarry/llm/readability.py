@@ -1,9 +1,10 @@
 """Problem 8: how demanding each document is to read.
 
-The familiar words are the short words among those that many texts of the whole corpus hold. A text's
-grade is a familiar-word formula: a weighted sum of the share of other words and of the mean sentence
-length. The bands ask for more than the mean: nearly all of an English text's words must stand in short
-sentences of familiar words (easy) or in long sentences rich in other words (hard).
+The familiar words are the short words among those that many texts of the whole corpus hold. A sentence's
+grade is a familiar-word formula: a weighted sum of the share of other words and of its number of words. A
+text's grade is the mean of its sentences' grades, each counted by its words. An English text is easy or hard
+when its grade is beyond the cut of that band and nearly all of its words stand in sentences that are so by
+the same formula: short ones of a low grade, or long ones of a high grade.
 
 Extractor dirt is undone first (zero-width and odd spaces, words cut at line ends, repeated page lines),
 and lines that are sentences by themselves, as in bulleted leaflets, count as such.
@@ -32,8 +33,11 @@ FAMILIAR_SHARE = 0.002  # part of all texts that must hold a word for it to be f
 FAMILIAR_LETTERS = 6  # letters of a familiar word at most
 UNFAMILIAR_WEIGHT, LENGTH_WEIGHT = 15.79, 0.0496  # of the share of unfamiliar words, and of words a sentence
 LEAST_WORDS = 80  # white-space separated words of a text with a band
-THROUGHOUT = 0.85  # part of the words that must stand in easy sentences
-LEAST_UNFAMILIAR = 0.38  # share of unfamiliar words of a hard text; where it is no more, nearly all words must stand in hard sentences
+LONGEST = 60  # words of a sentence that its grade counts at most, else a single endless sentence would make a text hard
+# The cuts of texts' grades where the ratings of people part best at scale 0.1: 1 from the rest, and 4 from the rest.
+EASY_GRADE, HARD_GRADE = 1.7, 9.0
+EASY_SENTENCE, HARD_SENTENCE = (5.5, 16), (6.25, 20)  # the most grade and words of an easy sentence, the least of a hard one
+THROUGHOUT_EASY, THROUGHOUT_HARD = 0.9, 0.93  # parts of the words that must stand in such sentences
 PROSE = 0.7  # part of the words that must stand in sentences with enough function words
 SCHEMA = "doc_id bigint, words bigint, sentences bigint, unfamiliar_share double, mean_sentence_words double, grade double, prose_share double, easy_share double, hard_share double, band string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -73,24 +77,23 @@ def measures(keys: list[int], texts: list[str | None], familiar: np.ndarray) ->
         place = np.array([x for f in found for x in f], np.int64).reshape(-1, 2) + np.repeat(own.base, count)[:, None]
         before = np.searchsorted(own.start, place)
         n, odd, function = (x[before[:, 1]] - x[before[:, 0]] for x in (np.concatenate([[0], np.cumsum(y)]) for y in (np.ones(len(own.hash), np.int64), ~member(own.hash, familiar), member(own.hash, FUNCTION))))
-        grade = UNFAMILIAR_WEIGHT * odd / np.maximum(1, n) + LENGTH_WEIGHT * n
+        grade = UNFAMILIAR_WEIGHT * odd / np.maximum(1, n) + LENGTH_WEIGHT * np.minimum(n, LONGEST)
         prose = (n > 0) & ((n < 3) | (function >= 0.15 * n))
-        easy = (n > 0) & (n <= 16) & (odd <= np.maximum(1, 0.3 * n))
-        hard = ~easy & (n >= 20) & (odd >= 0.28 * n)
+        easy = (grade <= EASY_SENTENCE[0]) & (n <= EASY_SENTENCE[1])
+        hard = (grade >= HARD_SENTENCE[0]) & (n >= HARD_SENTENCE[1])
         doc = np.repeat(np.arange(len(part)), count)
-        sums = (np.bincount(doc, x, len(part)).astype(np.int64).tolist() for x in (n, odd, n > 0, n * prose, n * easy, n * hard))
-        for key, text, lang, words, other, sentences, prosy, easily, hardly in zip(keys[start:], part, langs, *sums, strict=False):
+        sums = (np.bincount(doc, x, len(part)).tolist() for x in (n, odd, n > 0, n * grade, n * prose, n * easy, n * hard))
+        for key, text, lang, words, other, sentences, graded, prosy, easily, hardly in zip(keys[start:], part, langs, *sums, strict=False):
             if not words:
                 yield (key, 0, 0, *[None] * 7)
                 continue
-            share, length = other / words, words / sentences
-            band = None
+            level, band = graded / words, None
             if lang == "en" and len(text.split()) >= LEAST_WORDS and prosy >= PROSE * words:
-                if easily >= THROUGHOUT * words and share <= 0.12 and length <= 13:
+                if level <= EASY_GRADE and easily >= THROUGHOUT_EASY * words:
                     band = "easy"
-                elif share >= LEAST_UNFAMILIAR and hardly / words + 1.5 * (share - LEAST_UNFAMILIAR) >= 0.97 and length >= 24:
+                elif level >= HARD_GRADE and hardly >= THROUGHOUT_HARD * words:
                     band = "hard"
-            yield (key, words, sentences, share, length, UNFAMILIAR_WEIGHT * share + LENGTH_WEIGHT * length, prosy / words, easily / words, hardly / words, band)
+            yield (key, int(words), int(sentences), other / words, words / sentences, level, prosy / words, easily / words, hardly / words, band)
 
 
 def familiar_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FAMILIAR_SHARE, letters: int = FAMILIAR_LETTERS) -> np.ndarray:

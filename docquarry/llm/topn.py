@@ -6,8 +6,9 @@ ranked within each salt and once more over the salts' winners. The two results a
 ever sorts a whole heavy group and no row is dropped before its rank is known.
 
 Defined results: rows with a null group, a null item or a null or NaN score are never taken; ties of
-the score go to the smaller item; repeated rows of one item count once; a group with fewer than N items
-gives all; an empty table gives an empty table. Only the named columns are read.
+the score go to the smaller item; rows that repeat an item of a group have to be made one before, as
+``last_version`` and ``document_elements`` do; a group with fewer than N items gives all; an empty table
+gives an empty table. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HEAVY_ROWS = 50_000  # rows from which a group is heavy
-MOST_HEAVY = 5_000  # heavy groups at most, which bounds what is broadcast; the limit of rows grows instead
+from docquarry.session import cut
+
+HEAVY_ROWS = 50_000  # rows beyond which a group is heavy, and for which it gets a salt each
+MOST_SENT = 100_000  # heavy groups that all tasks are sent; with more of them, items join with them by their groups
 
 
 def last_version(df: DataFrame, item: str, at: str, *kept: str) -> DataFrame:
@@ -34,9 +37,10 @@ def top_n(items: DataFrame, group: str, item: str, score: str, n: int, raw: Data
     items = items.select(F.col(group).alias("group_id"), F.col(item).alias("item_id"), F.col(score).alias("score"))
     items = items.filter(F.col("group_id").isNotNull() & F.col("item_id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     source = items if raw is None else raw.select(raw_group.alias("group_id")).filter(F.col("group_id").isNotNull())
-    limit = max(heavy_rows, source.count() // MOST_HEAVY)
-    heavy = source.groupBy("group_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
-    heavy = F.broadcast(heavy.select("group_id", F.ceil(F.col("rows") / limit).cast("int").alias("salts")))
+    counted = source.groupBy("group_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > heavy_rows)
+    heavy = cut(counted.select("group_id", F.ceil(F.col("rows") / heavy_rows).cast("int").alias("salts")))
+    if heavy.count() <= MOST_SENT:
+        heavy = F.broadcast(heavy)
     order = [F.desc("score"), F.asc("item_id")]
 
     def best(df: DataFrame, *keys: str) -> DataFrame:

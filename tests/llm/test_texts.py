@@ -1,5 +1,6 @@
 """Sentences, quality, splitting and reading levels."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -168,6 +169,28 @@ def test_ranges_have_the_same_language_and_gaps(spark):
     assert splitting.RANGE < 50_000  # the longest texts go by ranges
 
 
+def test_giant_texts_go_by_ranges(spark):
+    """No blank lines, a sentence longer than a halo, and a repeated row; ranges of the production size."""
+    plain = " ".join(f"The board met again and read the log of room {i} at noon." for i in range(1_500))
+    longest = "The log " + "and the room " * 900 + "was read."
+    text = f"{plain} {longest} {plain}"
+    df = spark.createDataFrame([(1, text), (1, text), (2, "The board met. " + text)], "doc_id bigint, text string")
+    ranged, whole = ({(r.doc_id, r.piece): (r.start_at, r.end_at) for r in splitting.split(df, COMMON, range_chars=c).collect()} for c in (splitting.RANGE, 10**9))
+    assert len(text) > 20 * splitting.RANGE and len(longest) > 2 * splitting.HALO and ranged == whole
+    found = {r.doc_id: r.long_at for r in splitting.long_sentences(df, COMMON).collect()}
+    assert found == {1: len(plain) + 1, 2: len(plain) + 16}
+    sizes = [b - a for k, (a, b) in ranged.items() if k[0] == 1]
+    assert max(sizes) <= 1_500
+
+
+def test_overlap_begins_at_a_word():
+    text = "word " * 900
+    pieces = splitting.cut(len(text), [], splitting.last_blank(text), splitting.first_word(text))
+    assert all(text[c - 1] == " " and text[c] == "w" and 140 < b - c <= 150 for (_, b), (c, _) in zip(pieces, pieces[1:]))
+    gaps = [(m.start(), m.end()) for m in splitting.GAP.finditer(text)]
+    assert splitting.cut(len(text), [], *splitting.gap_finders(*np.array(gaps).T)) == pieces
+
+
 def test_files(spark, tmp_path):
     file = tmp_path / "giant.txt"
     file.write_text("\n".join("é" * (i % 700) for i in range(60)), encoding="utf-8")
