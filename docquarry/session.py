@@ -28,17 +28,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written copy.
 
     What its making shuffled is not needed any more. Spark removes such files only when the driver's objects for them are
-    collected, which a driver with memory to spare puts off until the disks are full; so it is asked to collect them now.
+    collected, which a driver with memory to spare puts off until the disks are full; ``free`` asks it to collect them now,
+    for steps that shuffle much.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     written = df.checkpoint(eager=True)
     del df
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return written
 
 
