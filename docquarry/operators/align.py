@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 from docquarry.functions.classify import has_reply_language, is_recommendation_text, normal_id, recommendation_number, reply_body, response_status, self_match
 from docquarry.functions.similarity import boosted_jaccard, content_words, cosine, jaccard
 from docquarry.functions.text import meaningful_cased, words
+from docquarry.operators.pairing import best_elsewhere
+from docquarry.session import cut
 
 
 def _left(recs: DataFrame) -> DataFrame:
@@ -41,42 +43,23 @@ def by_keywords(recs: DataFrame, resps: DataFrame, least: float = 0.25) -> DataF
     return recs.select("rec_key").join(best, "rec_key", "left").withColumn("has_response", F.col("resp_key").isNotNull())
 
 
-def _met(left: DataFrame, right: DataFrame, bound: float) -> DataFrame:
-    """Pairs whose sizes and whose shared words allow a similarity of ``bound``.
-
-    Of the words that are joined, the rarest of each side, a pair shares some; all others that it can share are among the
-    rest of one side. Both together have to reach the bound.
-    """
-    n, m = F.col("n_rec_key"), F.col("n_resp_key")
-    sizes = (n >= m * bound) & (m >= n * bound)
-    shared = left.join(right, "word").filter(sizes).groupBy("rec_key", "resp_key", "n_rec_key", "n_resp_key").agg(F.count(F.lit(1)).alias("shared"))
-    rest = lambda size: F.ceil(size * bound) - 1
-    return shared.filter(F.col("shared") + F.greatest(rest(n), rest(m)) >= bound / (1 + bound) * (n + m) - 1e-9).select("rec_key", "resp_key")
-
-
 def top_three(recs: DataFrame, resps: DataFrame, least: float = 0.3, most: int = 3) -> DataFrame:
     """Each recommendation with its ``most`` best responses of all documents: ``rec_key``, ``rank``, ``resp_key``, ``combined_score``, ``similarity_score``, ``same_document``.
 
     Meaningful words in their own case are compared; responses of the same document count 1.2 times, later ones there 1.1
     times more. That weighted similarity decides, and the order goes by it with 1 as the most (``combined_score``), of equal
-    ones the smaller key first. Only pairs that share a word can qualify, so candidates meet by their rarest words: a pair of
-    sets with a similarity of t shares one of the first n - ceil(t n) + 1 words of each in the order of rarity.
+    ones the smaller key first. Only pairs that share a word qualify. Those of one document meet by it; of the others, which
+    count once, every block of recommendations is compared with every block of responses.
     """
-    bound = least / 1.32
-    left = recs.select("doc_id", "rec_key", "position", F.array_distinct(meaningful_cased(F.col("text"))).alias("a")).filter(F.size("a") > 0)
-    right = resps.select(F.col("doc_id").alias("resp_doc"), "resp_key", F.col("position").alias("resp_position"), F.array_distinct(meaningful_cased(F.col("text"))).alias("b")).filter(F.size("b") > 0)
-    often = left.select(F.explode("a").alias("word")).unionByName(right.select(F.explode("b").alias("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-
-    def rarest(df: DataFrame, key: str, own: str) -> DataFrame:
-        each = df.select(key, F.size(own).alias("n"), F.explode(own).alias("word")).join(often, "word")
-        w = Window.partitionBy(key).orderBy("often", "word")
-        return each.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * bound) + 1).select(key, F.col("n").alias(f"n_{key}"), "word")
-
-    met = _met(rarest(left, "rec_key", "a"), rarest(right, "resp_key", "b"), bound)
-    pairs = met.join(left, "rec_key").join(right, "resp_key").withColumn("plain", jaccard(F.col("a"), F.col("b")))
-    same = F.col("doc_id") == F.col("resp_doc")
-    weighted = F.col("plain") * F.when(same, 1.2).otherwise(1.0) * F.when(same & (F.col("resp_position") > F.col("position")), 1.1).otherwise(1.0)
-    pairs = pairs.withColumn("same_document", F.coalesce(same, F.lit(False))).withColumn("similarity_score", weighted).filter(F.col("similarity_score") >= least)
+    recs, resps = recs.filter(F.col("rec_key").isNotNull()), resps.filter(F.col("resp_key").isNotNull())
+    own = F.array_distinct(meaningful_cased(F.col("text")))
+    left = recs.select("doc_id", "rec_key", "position", own.alias("a")).filter(F.size("a") > 0)
+    right = resps.select("doc_id", "resp_key", F.col("position").alias("resp_position"), own.alias("b")).filter(F.size("b") > 0)
+    plain = left.join(right, "doc_id").withColumn("plain", jaccard(F.col("a"), F.col("b"))).filter("plain > 0")
+    weighted = F.col("plain") * 1.2 * F.when(F.col("resp_position") > F.col("position"), 1.1).otherwise(1.0)
+    within = plain.select("rec_key", "resp_key", weighted.alias("similarity_score"), F.lit(True).alias("same_document"))
+    elsewhere = best_elsewhere(recs, resps, own, least, most).select("rec_key", "resp_key", F.col("plain").alias("similarity_score"), F.lit(False).alias("same_document"))
+    pairs = within.unionByName(cut(elsewhere, free=True)).filter(F.col("similarity_score") >= least)
     pairs = pairs.withColumn("combined_score", F.least("similarity_score", F.lit(1.0)))
     w = Window.partitionBy("rec_key").orderBy(F.desc(F.round("combined_score", 12)), "resp_key")
     ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
