@@ -14,13 +14,14 @@ from pyspark.sql.window import Window
 
 from docquarry.functions import lexicon as L
 from docquarry.functions.classify import theme
-from docquarry.functions.similarity import jaccard, ratio
-from docquarry.functions.text import any_contains, array_of, let, meaningful, page, prefix_sums, tokens
+from docquarry.functions.similarity import jaccard
+from docquarry.functions.text import any_contains, array_of, meaningful, page, prefix_sums, tokens
 from docquarry.operators.segment import plain_sentences, remove_overlaps
 
 
 ROUND_QUERIES = 20_000  # queries that all tasks are sent at once, about
 QUERY_BLOCK = 500  # queries that a batch of vectors is multiplied with at once
+BEFORE, AFTER = 10, 10  # words of a context, those from the word itself on counted with AFTER
 
 
 def query_words(query: str) -> list[str]:
@@ -71,33 +72,52 @@ def basic(docs: DataFrame, query: str) -> DataFrame:
 def fuzzy(docs: DataFrame, query: str, least: float = 0.6, case_sensitive: bool = False, context: bool = False) -> DataFrame:
     """``doc_id``, ``position``, ``word``, ``query_word`` and ``score`` of words like a word of the query; per place the best.
 
-    The ratio is taken of distinct words only, and only of those whose lengths allow it. Positions are those in the text
-    with white space squeezed. ``context`` adds the ten words before a word, itself and the nine after it.
+    The ratio is taken of a task's distinct words only, and only of those whose lengths allow it; the texts stay where they
+    are read. Positions are those in the text with white space squeezed. ``context`` adds the ten words before a word, itself
+    and the nine after it.
     """
     wanted = query_words(query)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     own = tokens(F.col("text") if case_sensitive else F.lower("text"))
-    made = lambda xs: F.zip_with(xs, prefix_sums(F.transform(xs, lambda w: F.length(w) + 1)), lambda w, at: F.struct(w.alias("word"), at.alias("position")))
-    rows = docs.filter(F.length("text") > 0).select("doc_id", "text", F.posexplode(let(own, made)).alias("ordinal", "w"))
-    words = rows.select("doc_id", "text", "ordinal", "w.word", "w.position") if context else rows.select("doc_id", "ordinal", "w.word", "w.position")
-    bound = F.lit(False)
+    rows = docs.filter(F.length("text") > 0).select("doc_id", own.alias("own"), *([tokens(F.col("text")).alias("shown")] if context else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[float, str] | None] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            words, size = lists.flatten(), lists.value_lengths().to_numpy()
+            coded = words.dictionary_encode()
+            distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            best = [known[w] if w in known else known.setdefault(w, _best_ratio(w, wanted, least)) for w in distinct]
+            at = np.flatnonzero(np.array([b is not None for b in best], bool)[code])
+            if not len(at):
+                continue
+            row, first = np.repeat(np.arange(len(size)), size)[at], np.cumsum(size) - size
+            length = np.array([len(w) for w in distinct], np.int64)[code] + 1
+            before = np.cumsum(length) - length
+            hits = [best[k] for k in code[at]]
+            place, ordinal = before[at] - before[first[row]], at - first[row]
+            out = [batch.column(0).take(pa.array(row)), pa.array(place, pa.int32()), words.take(pa.array(at)), pa.array([q for _, q in hits], pa.string()), pa.array([r * 100 for r, _ in hits], pa.float64())]
+            if context:
+                shown = batch.column(2)
+                held = {k: shown[k].as_py() for k in np.unique(row).tolist()}
+                out.append(pa.array([" ".join(held[k][max(0, i - BEFORE) : i + AFTER]) for k, i in zip(row.tolist(), ordinal.tolist(), strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    names = ["doc_id", "position", "word", "query_word", "score"] + ["context"] * context
+    return rows.mapInArrow(run, f"doc_id {kind}, position int, word string, query_word string, score double" + ", context string" * context)
+
+
+def _best_ratio(word: str, wanted: list[str], least: float) -> tuple[float, str] | None:
+    """The greatest ratio above ``least`` of a word of the query and ``word``, of equal ones the greatest word; the bounds on a ratio are tried first."""
+    best, matcher = None, SequenceMatcher()
     for q in wanted:
-        bound = bound | (2.0 * F.least(F.length("word"), F.lit(len(q))) / (F.length("word") + len(q)) > least)
-    distinct = words.select("word").distinct().filter(bound)
-    pairs = distinct.select("word", F.explode(array_of(wanted)).alias("query_word"))
-    pairs = pairs.filter(2.0 * F.least(F.length("word"), F.length("query_word")) / (F.length("word") + F.length("query_word")) > least)
-    scored = pairs.withColumn("r", ratio("query_word", "word")).filter(F.col("r") > least)
-    best = scored.groupBy("word").agg(F.max(F.struct(F.col("r"), F.col("query_word"))).alias("b"))
-    found = words.join(best, "word")
-    columns = ["doc_id", "position", "word", F.col("b.query_word").alias("query_word"), (F.col("b.r") * 100).alias("score")]
-    if context:
-        columns.append(word_context(F.col("text"), F.col("ordinal")).alias("context"))
-    return found.select(*columns)
-
-
-def word_context(text: Column, ordinal: Column, before: int = 10, after: int = 10) -> Column:
-    """The words from ``before`` before a word, counted from 0, up to ``after`` behind it, which is left out."""
-    first = F.greatest(ordinal - before, F.lit(0))
-    return F.array_join(F.slice(tokens(text), first + 1, ordinal + after - first), " ")
+        if 2.0 * min(len(word), len(q)) / (len(word) + len(q)) > least:
+            matcher.set_seq2(word)  # which does nothing if it is set
+            matcher.set_seq1(q)
+            if matcher.quick_ratio() > least and (r := matcher.ratio()) > least:
+                best = max(best or (r, q), (r, q))
+    return best
 
 
 def related_words(word: str) -> list[str]:

@@ -122,3 +122,19 @@ def test_alignment(spark):
     assert pairs == {10: 20, 11: None}
     top = align.top_three(recs, resps, 0.1).collect()
     assert {(r.rec_key, r.resp_key) for r in top} == {(10, 20), (10, 21)}
+
+
+def test_fuzzy_moves_no_text(spark):
+    texts = [(1, "Eskalation of  the\tRegister, an Escalation. " * 30), (None, "one REGISTRY"), (1, "one REGISTRY"), (2, ""), (3, None), (4, "x " * 12 + "registri " + "y " * 12)]
+    found = search.fuzzy(spark.createDataFrame(texts, "doc_id bigint, text string"), "eskalation registry", context=True)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for doc, text in texts:
+        own, at = (text or "").split(), 0
+        for k, word in enumerate(w.lower() for w in own):
+            ratio, q = max((search.word_ratio(q, word), q) for q in ("eskalation", "registry"))
+            if ratio > 0.6:
+                want.append((doc, at, word, q, round(ratio * 100, 9), " ".join(own[max(0, k - 10) : k + 10])))
+            at += len(word) + 1
+    got = [(r.doc_id, r.position, r.word, r.query_word, round(r.score, 9), r.context) for r in found.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 93
