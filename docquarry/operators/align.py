@@ -59,7 +59,7 @@ def top_three(recs: DataFrame, resps: DataFrame, least: float = 0.3, most: int =
     weighted = F.col("plain") * 1.2 * F.when(F.col("resp_position") > F.col("position"), 1.1).otherwise(1.0)
     within = plain.select("rec_key", "resp_key", weighted.alias("similarity_score"), F.lit(True).alias("same_document"))
     elsewhere = best_elsewhere(recs, resps, own, least, most).select("rec_key", "resp_key", F.col("plain").alias("similarity_score"), F.lit(False).alias("same_document"))
-    pairs = within.unionByName(cut(elsewhere, free=True)).filter(F.col("similarity_score") >= least)
+    pairs = cut(within.unionByName(elsewhere).filter(F.col("similarity_score") >= least), free=True)
     pairs = pairs.withColumn("combined_score", F.least("similarity_score", F.lit(1.0)))
     w = Window.partitionBy("rec_key").orderBy(F.desc(F.round("combined_score", 12)), "resp_key")
     ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

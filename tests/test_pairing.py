@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import align, pairing
+from docquarry.sinks import writers
 
 
 def made(seed=3, records=120):
@@ -56,3 +57,16 @@ def test_neither_words_nor_pairs_are_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan
     assert not any(x in plan for x in ("Exchange", "Generate", "Broadcast"))
+
+
+def test_nested_export_compares_blocks(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(align, "best_elsewhere", lambda *args: used.append(args) or pairing.best_elsewhere(*args))
+    left, right = frames(spark)
+    recs = left.selectExpr("*", "'should' AS verb", "'heading' AS method", "rec_key / 1000D AS confidence", "'a.txt' AS source_document").filter("rec_key is not null")
+    resps = right.withColumn("source_document", F.lit("b.txt"))
+    rows = writers.nested_alignment_rows(align.nested(align.top_three(recs, resps), recs), recs, resps).collect()
+    want = {key: text for key, rank, resp, *_ in brute(*made(), 0.3) if rank == 1 for _, k, _, text in made()[1] if k == resp}
+    numbers = sorted((r for r in recs.collect()), key=lambda r: -r.rec_key)
+    assert len(used) == 1 and [r.ID for r in sorted(rows, key=lambda r: r.ID)] == list(range(1, len(numbers) + 1))
+    assert [r["Top Response"] for r in sorted(rows, key=lambda r: r.ID)] == [want.get(r.rec_key, "No response found") for r in numbers]
